@@ -75,7 +75,9 @@ class SecondTier:
         return out | got
 
 
-second_tier = functools.lru_cache(maxsize=2)(lambda path: SecondTier())
+@functools.lru_cache(maxsize=2)
+def second_tier(path: str) -> SecondTier:
+    return SecondTier()
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, share: float = SHARE, limit: int = LIMIT) -> DataFrame:

@@ -133,7 +133,9 @@ class TableEncoder(tokens.Encoder):
         return [next(got) if t else [] for t in texts]
 
 
-encoder = functools.lru_cache(maxsize=2)(TableEncoder)
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> TableEncoder:
+    return TableEncoder(path)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
