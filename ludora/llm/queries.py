@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .counts import op9_token_counts
+from .exact import OP6_SQL, op6_exact_dedup
 from .packing import op3_cost_balanced_packing
 from .pieces import op7_sentencepiece_prefix_table
+from .simhash import op8_simhash
 from .wavelet import op1_wavelet_matrix
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op3_cost_balanced_packing, op7_sentencepiece_prefix_table, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op3_cost_balanced_packing, op6_exact_dedup, op7_sentencepiece_prefix_table, op8_simhash, op9_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
