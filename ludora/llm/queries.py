@@ -12,9 +12,10 @@ from .packing import op3_cost_balanced_packing
 from .pieces import op7_sentencepiece_prefix_table
 from .quality import op10_quality_rules
 from .simhash import op8_simhash
+from .toxicity import op5_toxicity_grammar
 from .urls import op2_url_filter
 from .wavelet import op1_wavelet_matrix
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op2_url_filter, op3_cost_balanced_packing, op6_exact_dedup, op7_sentencepiece_prefix_table, op8_simhash, op9_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op2_url_filter, op3_cost_balanced_packing, op5_toxicity_grammar, op6_exact_dedup, op7_sentencepiece_prefix_table, op8_simhash, op9_token_counts, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

@@ -82,8 +82,9 @@ def train(labelled: DataFrame) -> tuple[DataFrame, float, Column, Column]:
     if len(counts) < 2:
         return suffixes, prior, F.lit(1.0 if blocked else -1.0), F.lit(False)
     rows = with_suffix(labelled, suffixes, prior)
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
-    model = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=7).fit(assembled)
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1.0, total / (2.0 * blocked)).otherwise(total / (2.0 * (total - blocked))))  # both kinds weigh the same
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label", "weight")
+    model = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, weightCol="weight", seed=7).fit(assembled)
     return suffixes, prior, trees.margin([t.toDebugString for t in model.trees], list(model.treeWeights), FEATURES), F.lit(True)
 
 
