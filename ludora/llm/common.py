@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text handed to Python at once; a batch above it is worked off in slices.
 SLICE_BYTES = 24 << 20
+#: Column that numbers the rows of a table while a stage decides on them.
+ROW = "ludora_row_number"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -144,22 +144,33 @@ def digest_of(norm: Column, bits: int) -> Column:
 
 def deduplicate(docs: DataFrame, bits: int = 256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. ``bits`` of the digest are used (fewer in tests only)."""
+    return decide(docs, F.monotonically_increasing_id(), bits).drop("uid")
+
+
+def keep_distinct(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    numbered = common.written(docs.withColumn(common.ROW, F.monotonically_increasing_id()), "numbered")
+    stay = decide(numbered, F.col(common.ROW)).where("kept").select(F.col("uid").alias(common.ROW))
+    return numbered.join(stay, common.ROW, "left_semi").drop(common.ROW)
+
+
+def decide(docs: DataFrame, uid: Column, bits: int = 256) -> DataFrame:
+    """uid, doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     text = common.text_or_empty()
-    norm = F.translate(text, SPACES, "")
-    source = docs.select(F.col("doc_id").cast("long"), norm.alias("norm"), F.char_length(text).alias("chars"))
-    found = source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha"), digest_of(F.col("norm"), bits).alias("key"))
-    rows = common.written(found, "digests")
+    source = docs.select(uid.alias("uid"), F.col("doc_id").cast("long"), F.translate(text, SPACES, "").alias("norm"), F.char_length(text).alias("chars"))
+    key = digest_of(F.col("norm"), bits)
+    columns = ["uid", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha")]
+    rows = common.written(source.select(*columns, key.alias("key")), "digests")
     result = common.written(grouped(rows), "groups")
-    texts = source.select(digest_of(F.col("norm"), bits).alias("key"), "norm")
+    texts = source.select(key.alias("key"), "norm")
     several = texts.join(result.where("n > 1").select("key"), "key", "left_semi").distinct()
     clash = common.written(several.groupBy("key").count().where("count > 1").select("key"), "clashes")
     if not clash.isEmpty():  # different texts under one digest: the text becomes the key
-        split = source.withColumn("key", digest_of(F.col("norm"), bits)).join(clash.withColumn("clash", F.lit(True)), "key", "left")
-        found = split.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.when(F.col("clash"), F.concat("key", F.col("norm").cast("binary"))).otherwise(F.col("key")).alias("key"))
-        rows = common.written(found, "digests")
+        split = source.withColumn("key", key).join(clash.withColumn("clash", F.lit(True)), "key", "left")
+        rows = common.written(split.select(*columns, F.when(F.col("clash"), F.concat("key", F.col("norm").cast("binary"))).otherwise(F.col("key")).alias("key")), "digests")
         result = common.written(grouped(rows), "groups")
     keep = result.select("key", F.col("rank.doc").alias("keep"), F.col("rank.uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    return rows.join(keep, "key").select("doc_id", (-F.col("keep")).alias("keep_id"), "group_size", (F.col("uid") == -F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return rows.join(keep, "key").select("uid", "doc_id", (-F.col("keep")).alias("keep_id"), "group_size", (F.col("uid") == -F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:

@@ -24,18 +24,18 @@ STATISTICS = ["chars", "word_length", "upper", "symbols", "digits", "bangs", "ba
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the statistics of column text."""
+    """Statistics of column text, and the columns ``keep`` as the struct kept_columns."""
     t = F.col("body")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    base = docs.select(*keep, common.text_or_empty().alias("body"))
+    base = docs.select(F.struct(*keep).alias("kept_columns"), common.text_or_empty().alias("body"))  # their names may clash with those below
     counted = base.select(
-        *keep, F.char_length(t).cast("double").alias("n"), count(r"\S+").alias("w"), count(r"\p{Lu}").alias("u"), count(r"[#$%&*~^=<>{}|\\_@+]").alias("s"), count(r"[0-9]").alias("d"),
+        "kept_columns", F.char_length(t).cast("double").alias("n"), count(r"\S+").alias("w"), count(r"\p{Lu}").alias("u"), count(r"[#$%&*~^=<>{}|\\_@+]").alias("s"), count(r"[0-9]").alias("d"),
         count(r"!!").alias("b"), count(r" \| ").alias("p"), count(r"[.?]").alias("e"), F.size(F.array_distinct(F.split(t, " "))).cast("double").alias("v"), count(r" (\S+) \1(?= )").alias("r"),
         F.size(F.split(t, "\n")).cast("double").alias("l"), F.size(F.array_distinct(F.split(t, "\n"))).cast("double").alias("m"),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1.0))
     return counted.select(
-        *keep, F.log1p("n").alias("chars"), per("n", "w").alias("word_length"), per("u", "n").alias("upper"), per("s", "n").alias("symbols"), per("d", "n").alias("digits"), per("b", "w").alias("bangs"), per("p", "w").alias("bars"),
+        "kept_columns", F.log1p("n").alias("chars"), per("n", "w").alias("word_length"), per("u", "n").alias("upper"), per("s", "n").alias("symbols"), per("d", "n").alias("digits"), per("b", "w").alias("bangs"), per("p", "w").alias("bars"),
         per("e", "w").alias("ends"), per("v", "w").alias("distinct"), per("r", "w").alias("repeats"), per("l", "w").alias("lines"), (F.lit(1.0) - per("m", "l")).alias("line_repeats"),
     )
 
@@ -55,7 +55,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = common.written(statistics(labelled(docs, labels, label, bound), ["label"]), "labelled-texts")
+    rows = common.written(statistics(labelled(docs, labels, label, bound), ["label"]).select("kept_columns.label", *STATISTICS), "labelled-texts")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         share = next(iter(counts), 0.5)
@@ -78,9 +78,11 @@ def score_of(intercept: float, rules: list[tuple[list[trees.Test], float]]) -> C
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns, score and predicted of every row."""
+    """``keep`` columns, score and predicted of every row (names of theirs that clash with the last two are left out)."""
     value = score_of(*learn(docs, labels))
-    return statistics(docs, keep).select(*keep, value.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    kept = [F.col("kept_columns").getField(k).alias(k) for k in keep if k not in ("score", "predicted")]
+    scored = statistics(docs, keep).select("kept_columns", value.alias("score"))
+    return scored.select(*kept, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .counts import op9_token_counts
 from .exact import OP6_SQL, op6_exact_dedup
+from .neardup import op4_order_minhash
 from .packing import op3_cost_balanced_packing
 from .pieces import op7_sentencepiece_prefix_table
 from .quality import op10_quality_rules
@@ -16,6 +17,6 @@ from .toxicity import op5_toxicity_grammar
 from .urls import op2_url_filter
 from .wavelet import op1_wavelet_matrix
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op2_url_filter, op3_cost_balanced_packing, op5_toxicity_grammar, op6_exact_dedup, op7_sentencepiece_prefix_table, op8_simhash, op9_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_matrix, op2_url_filter, op3_cost_balanced_packing, op4_order_minhash, op5_toxicity_grammar, op6_exact_dedup, op7_sentencepiece_prefix_table, op8_simhash, op9_token_counts, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
