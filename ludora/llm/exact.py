@@ -162,9 +162,8 @@ def decide(docs: DataFrame, uid: Column, bits: int = 256) -> DataFrame:
     columns = ["uid", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha")]
     rows = common.written(source.select(*columns, key.alias("key")), "digests")
     result = common.written(grouped(rows), "groups")
-    texts = source.select(key.alias("key"), "norm")
-    several = texts.join(result.where("n > 1").select("key"), "key", "left_semi").distinct()
-    clash = common.written(several.groupBy("key").count().where("count > 1").select("key"), "clashes")
+    texts = source.select(key.alias("key"), "norm").distinct()  # copies meet in their own tasks first: a hot group sends one text from each
+    clash = common.written(texts.groupBy("key").count().where("count > 1").select("key"), "clashes")
     if not clash.isEmpty():  # different texts under one digest: the text becomes the key
         split = source.withColumn("key", key).join(clash.withColumn("clash", F.lit(True)), "key", "left")
         rows = common.written(split.select(*columns, F.when(F.col("clash"), F.concat("key", F.col("norm").cast("binary"))).otherwise(F.col("key")).alias("key")), "digests")
