@@ -4,7 +4,550 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import language, parse, text
+from ..operators import clean, relational as rel, results, tenants
+from ..schemas import CLEAN_GAMES
+from ..sources import csv, results as files, views
+from ..sources.work import work_path
+from ..streaming import jobs
+from . import queries as plans
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEYS = ["client_id", "app_id"]
+#: Least counts that fit the size of the derived tables.
+LEAST_NEGATIVE, LEAST_ENGLISH = 10, 12
+
+
+def _bool(c: str) -> str:
+    return f"case when {c} in ('1','t','T','TRUE','true','True') then true when {c} in ('0','f','F','FALSE','false','False') then false end"
+
+
+def _uint(c: str) -> str:
+    return f"case when regexp_full_match({c}, '[0-9]{{1,18}}') and try_cast({c} as bigint) <= 4294967295 then try_cast({c} as bigint) end"
+
+
+WITH = f"""
+with games as ({views.GAMES.format(part="part")}),
+reviews as ({views.REVIEWS.format(lineitem="lineitem")}),
+text_reviews as ({views.TEXT_REVIEWS.format(documents="documents", labels="labels")}),
+parsed as (select *, {_uint("app_id")} as game_id, {_bool("windows")} as on_windows, {_bool("mac")} as on_mac, {_bool("linux")} as on_linux,
+  year(coalesce(try_strptime(release_date, '%b %d, %Y'), try_strptime(release_date, '%b %Y'))) as year, {_uint("avg_playtime")} as playtime,
+  list_contains(string_split(genres, ','), 'indie') as is_indie_exact,
+  list_contains(list_transform(string_split(genres, ','), lambda x: trim(x)), 'indie') as is_indie,
+  list_contains(list_transform(string_split(genres, ','), lambda x: trim(x)), 'action') as is_action from games),
+flagged as (select *, on_windows is not null and on_mac is not null and on_linux is not null as os_ok,
+  game_id is not null and year is not null and playtime is not null as year_ok from parsed),
+typed as (select *, os_ok and game_id is not null and (not is_indie_exact or year_ok) as names_ok from flagged),
+indie as (select client_id, game_id as app_id, year as release_year, playtime as avg_playtime from typed where os_ok and is_indie_exact and year_ok),
+indie_names as (select client_id, game_id as app_id, name from typed where names_ok and is_indie),
+flags as (select client_id, game_id as app_id, name, is_action, is_indie from typed where names_ok),
+rv as (select client_id, cast(app_id as bigint) as app_id, review_score = '1' as positive from reviews),
+counts as (select client_id, app_id, count_if(positive) as positive_reviews, count_if(not positive) as negative_reviews from rv group by all),
+action_negatives as (select r.client_id, r.app_id, f.name, r.positive from rv r join flags f using (client_id, app_id) where f.is_action and not r.positive),
+action_counts as (select client_id, app_id, name, count(*) as negative_reviews from action_negatives group by all),
+cut as (select client_id, quantile_disc(negative_reviews, 0.9) as threshold from action_counts where negative_reviews > 0 group by client_id)
+"""
+
+
+def query(sql: str | None = None, prefix: bool = True) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (WITH if prefix else "") + sql
+        return f
+
+    return put
+
+
+def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.type_games(views.games(spark, sf_dir))
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.type_reviews(views.reviews(spark, sf_dir))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.review_counts(_reviews(spark, sf_dir))
+
+
+def _action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.named_negative_counts(plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir)))
+
+
+# composite queries
+@query("select client_id, count_if(on_linux) as linux, count_if(on_windows) as windows, count_if(on_mac) as mac from typed where os_ok group by client_id")
+def q1_platform_counts(spark, sf_dir):
+    return plans.q1(views.games(spark, sf_dir))
+
+
+@query("select client_id, app_id, release_year, avg_playtime from indie where release_year >= 2010 and release_year < 2020 qualify row_number() over (partition by client_id order by avg_playtime desc, app_id) <= 10")
+def q2_decade_topk(spark, sf_dir):
+    return plans.q2(views.games(spark, sf_dir))
+
+
+@query("select client_id, app_id, name, positive_reviews from counts join indie_names using (client_id, app_id) qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5")
+def q3_top_positive(spark, sf_dir):
+    return plans.q3(views.games(spark, sf_dir), views.reviews(spark, sf_dir))
+
+
+def _language_sql(languages: tuple[str, ...]) -> str:
+    hits = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(t) for t in language.PROFILES[x])}))) as {x}" for x in languages)
+    best = f"greatest({', '.join(languages)})"
+    ahead = " + ".join(f"cast({x} = {best} as int)" for x in languages)
+    pick = " ".join(f"when {x} = {best} then '{x}'" for x in languages)
+    return f"select *, case when {best} > 0 and {ahead} = 1 then case {pick} end end as detected from (select *, {hits} from (select *, regexp_split_to_array(lower(coalesce(review_text, '')), '[^\\pL]+') as w from text_reviews))"
+
+
+FOUR = ("en", "es", "fr", "de")
+TEXT_GAMES = "select 1 as client_id, n as app_id, 'game ' || cast(n as varchar) as name from range(0, 20) t(n) where n % 4 <> 3"
+
+
+def _text_games(spark: SparkSession) -> DataFrame:
+    return spark.range(20).where("id % 4 <> 3").select(F.lit(1).alias("client_id"), F.col("id").alias("app_id"), F.concat(F.lit("game "), F.col("id").cast("string")).alias("name"))
+
+
+@query(f"select client_id, app_id, name from (select t.client_id, cast(t.app_id as bigint) as app_id, g.name from ({_language_sql(FOUR)}) t join ({TEXT_GAMES}) g on t.client_id = g.client_id and cast(t.app_id as bigint) = g.app_id where t.review_score <> '1' and t.detected = 'en') group by all having count(*) >= {LEAST_ENGLISH}")
+def q4_english_negative(spark, sf_dir):
+    found = rel.negatives(clean.type_reviews(views.text_reviews(spark, sf_dir))).join(_text_games(spark), KEYS)
+    english = found.where(language.detect(F.col("review_text"), FOUR) == "en")
+    return rel.filter_threshold(rel.named_negative_counts(english), "negative_reviews", LEAST_ENGLISH).select(*KEYS, "name")
+
+
+@query("select client_id, app_id, name, negative_reviews from action_counts join cut using (client_id) where negative_reviews >= threshold")
+def q5_percentile_cut(spark, sf_dir):
+    return plans.q5(views.games(spark, sf_dir), views.reviews(spark, sf_dir))
+
+
+# parsing and branches
+@query("select client_id, game_id, year, playtime, on_windows, on_mac, on_linux from typed")
+def parse_games(spark, sf_dir):
+    return _games(spark, sf_dir).select("client_id", "game_id", "year", "playtime", "on_windows", "on_mac", "on_linux")
+
+
+@query("select client_id, src_key, year from typed")
+def parse_release_date(spark, sf_dir):
+    return _games(spark, sf_dir).select("client_id", "src_key", "year")
+
+
+@query("select client_id, src_key, os_ok, year_ok, names_ok from typed")
+def branch_reject(spark, sf_dir):
+    return _games(spark, sf_dir).select("client_id", "src_key", "os_ok", "year_ok", "names_ok")
+
+
+@query("select client_id, on_linux as linux, on_windows as windows, on_mac as mac from typed where os_ok")
+def branch_platforms(spark, sf_dir):
+    return clean.platform_flags(_games(spark, sf_dir))
+
+
+@query("select * from indie")
+def branch_years(spark, sf_dir):
+    return clean.indie_years(_games(spark, sf_dir))
+
+
+@query("select * from indie_names")
+def branch_names(spark, sf_dir):
+    return clean.indie_names(_games(spark, sf_dir))
+
+
+@query("select * from flags")
+def branch_flags(spark, sf_dir):
+    return clean.game_flags(_games(spark, sf_dir))
+
+
+@query("select client_id, app_id, positive from rv")
+def reviews_typed(spark, sf_dir):
+    return clean.reduced_reviews(_reviews(spark, sf_dir))
+
+
+@query("select client_id, src_key, cast(right(release_date, 4) as int) as year_by_text from games where regexp_full_match(right(release_date, 4), '[0-9]{4}')")
+def year_by_last_characters(spark, sf_dir):
+    found = views.games(spark, sf_dir).select("client_id", "src_key", parse.last_four(F.col("release_date")).alias("year_by_text"))
+    return found.where(F.col("year_by_text").isNotNull())
+
+
+@query("select client_id, src_key, os_ok and names_ok as usable from typed")
+def quarantine_split(spark, sf_dir):
+    good, bad = clean.quarantine(_games(spark, sf_dir), F.col("os_ok") & F.col("names_ok"))
+    return good.select("client_id", "src_key", F.lit(True).alias("usable")).unionByName(bad.select("client_id", "src_key", F.lit(False).alias("usable")))
+
+
+# filters
+@query("select client_id, src_key from games where list_contains(string_split(genres, ','), 'indie')")
+def genre_exact(spark, sf_dir):
+    return rel.filter_genre(views.games(spark, sf_dir), "indie").select("client_id", "src_key")
+
+
+@query("select client_id, src_key from games where list_contains(list_transform(string_split(genres, ','), lambda x: trim(x)), 'indie')")
+def genre_trimmed(spark, sf_dir):
+    return rel.filter_genre(views.games(spark, sf_dir), "indie", "trimmed").select("client_id", "src_key")
+
+
+@query("select client_id, src_key from games where contains(lower(genres), 'action')")
+def genre_substring(spark, sf_dir):
+    return rel.filter_genre(views.games(spark, sf_dir), "Action", "substring").select("client_id", "src_key")
+
+
+@query("select * from indie where release_year >= 2010 and release_year < 2020")
+def decade_filter(spark, sf_dir):
+    return rel.filter_decade(clean.indie_years(_games(spark, sf_dir)), "release_year")
+
+
+@query("select client_id, src_key, release_date from games where contains(release_date, '201')")
+def decade_by_text(spark, sf_dir):
+    return rel.filter_decade_text(views.games(spark, sf_dir), "release_date").select("client_id", "src_key", "release_date")
+
+
+@query("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders where o_orderdate >= timestamp '1990-01-01' and o_orderdate < timestamp '2000-01-01' order by 2 desc, 1 limit 10", prefix=False)
+def decade_topk_orders(spark, sf_dir):
+    orders = rel.filter_decade(views.table(spark, sf_dir, "orders"), "o_orderdate", 1990, timestamps=True)
+    return rel.top_k(orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")), 10, "cents", "o_orderkey")
+
+
+@query("select client_id, app_id from rv where not positive")
+def negative_reviews(spark, sf_dir):
+    return rel.negatives(_reviews(spark, sf_dir)).select(*KEYS)
+
+
+@query(f"select client_id, app_id, negative_reviews from counts where negative_reviews >= {LEAST_NEGATIVE}")
+def threshold_inclusive(spark, sf_dir):
+    return rel.filter_threshold(_counts(spark, sf_dir), "negative_reviews", LEAST_NEGATIVE).select(*KEYS, "negative_reviews")
+
+
+@query(f"select client_id, app_id, negative_reviews from counts where negative_reviews > {LEAST_NEGATIVE}")
+def threshold_exclusive(spark, sf_dir):
+    return rel.filter_threshold(_counts(spark, sf_dir), "negative_reviews", LEAST_NEGATIVE, inclusive=False).select(*KEYS, "negative_reviews")
+
+
+@query("select * from counts where negative_reviews > 0")
+def drop_zero_negatives(spark, sf_dir):
+    return rel.filter_threshold(_counts(spark, sf_dir), "negative_reviews", 0, inclusive=False)
+
+
+@query("select client_id, src_key from typed where on_linux")
+def flag_is_true(spark, sf_dir):
+    return _games(spark, sf_dir).where("on_linux").select("client_id", "src_key")
+
+
+# joins
+@query("select client_id, app_id, name, positive from action_negatives")
+def join_action_negatives(spark, sf_dir):
+    return plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir)).select(*KEYS, "name", "positive")
+
+
+@query("select client_id, app_id, name, positive_reviews, negative_reviews from counts join indie_names using (client_id, app_id)")
+def join_indie_counts(spark, sf_dir):
+    return rel.join_names(_counts(spark, sf_dir), clean.indie_names(_games(spark, sf_dir)), KEYS).select(*KEYS, "name", "positive_reviews", "negative_reviews")
+
+
+@query("select client_id, app_id, name, count_if(positive) as positive_reviews from rv join indie_names using (client_id, app_id) group by all")
+def join_then_group(spark, sf_dir):
+    joined = _reviews(spark, sf_dir).select(*KEYS, "positive").join(clean.indie_names(_games(spark, sf_dir)), KEYS)
+    return joined.groupBy(*KEYS, "name").agg(F.count_if("positive").alias("positive_reviews"))
+
+
+@query("select client_id, app_id, name from (select client_id, app_id from counts qualify row_number() over (partition by client_id order by negative_reviews desc, app_id) <= 20) join flags using (client_id, app_id)")
+def name_recovery(spark, sf_dir):
+    ranked = rel.top_k(_counts(spark, sf_dir), 20, "negative_reviews", by=("client_id",)).select(*KEYS)
+    return rel.join_names(ranked, clean.game_flags(_games(spark, sf_dir)).select(*KEYS, "name"), KEYS)
+
+
+@query(f"select client_id, app_id, positive from rv where (client_id, app_id) in (select (client_id, app_id) from counts where negative_reviews >= {LEAST_NEGATIVE})")
+def semi_join_qualified(spark, sf_dir):
+    return rel.limited_to(_reviews(spark, sf_dir), rel.filter_threshold(_counts(spark, sf_dir), "negative_reviews", LEAST_NEGATIVE), KEYS).select(*KEYS, "positive")
+
+
+LATER = "select client_id, app_id, name, 1 as pos from flags union all select client_id, app_id, name || ' (new)', 2 from flags where app_id % 10 = 0"
+
+
+@query(f"select client_id, app_id, arg_max(name, pos) as name from ({LATER}) group by client_id, app_id")
+def dedupe_games_last(spark, sf_dir):
+    first = clean.game_flags(_games(spark, sf_dir)).select(*KEYS, "name", F.lit(1).alias("pos"))
+    later = first.where("app_id % 10 = 0").select(*KEYS, F.concat("name", F.lit(" (new)")).alias("name"), F.lit(2).alias("pos"))
+    return rel.dedupe_last(first.unionByName(later), KEYS, "pos").select(*KEYS, "name")
+
+
+@query("select client_id, app_id, positive_reviews, negative_reviews from counts where client_id <> 2")
+def delete_client(spark, sf_dir):
+    gone = spark.createDataFrame([(2,)], "client_id int")
+    return rel.without_clients(_counts(spark, sf_dir), gone)
+
+
+# aggregates
+@query("select sum(linux) as linux, sum(windows) as windows, sum(mac) as mac from (select client_id, count_if(on_linux) as linux, count_if(on_windows) as windows, count_if(on_mac) as mac from typed where os_ok group by client_id)")
+def merge_partial_counts(spark, sf_dir):
+    return rel.merge_counts(plans.q1(views.games(spark, sf_dir)))
+
+
+@query("select * from counts")
+def review_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query("select client_id, app_id, name, negative_reviews from action_counts")
+def action_negative_counts(spark, sf_dir):
+    return _action_counts(spark, sf_dir)
+
+
+@query(f"select cast(app_id as bigint) as app_id, count(*) as negative_reviews from ({_language_sql(FOUR)}) where review_score <> '1' and detected = 'en' group by all")
+def english_negative_counts(spark, sf_dir):
+    found = rel.negatives(clean.type_reviews(views.text_reviews(spark, sf_dir))).where(language.detect(F.col("review_text"), FOUR) == "en")
+    return rel.review_counts(found, ("app_id",)).select("app_id", "negative_reviews")
+
+
+@query("select client_id, quantile_disc(negative_reviews, 0.9) as threshold from counts where negative_reviews > 0 group by client_id")
+def percentile_nearest_rank(spark, sf_dir):
+    return rel.percentile(_counts(spark, sf_dir).where("negative_reviews > 0"), "negative_reviews", by=("client_id",))
+
+
+@query("select client_id, cast(round(quantile_cont(negative_reviews, 0.9) * 1000000) as bigint) as threshold_millionths from counts where negative_reviews > 0 group by client_id")
+def percentile_interpolated(spark, sf_dir):
+    found = rel.percentile(_counts(spark, sf_dir).where("negative_reviews > 0"), "negative_reviews", method="linear", by=("client_id",))
+    return found.select("client_id", F.round(F.col("threshold") * 1_000_000).cast("bigint").alias("threshold_millionths"))
+
+
+@query("select client_id, app_id, count(*) as n from rv group by all")
+def group_size(spark, sf_dir):
+    return _reviews(spark, sf_dir).groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
+@query("select app_id, sum(case when try_cast(review_score as double) > 0 then 1 else 0 end) as positive_sum, sum(case when try_cast(review_score as double) < 0 then 1 else 0 end) as negative_sum from reviews group by app_id")
+def label_sums(spark, sf_dir):
+    labelled = views.reviews(spark, sf_dir).select("app_id", parse.label_positive(F.col("review_score")).alias("p"), parse.label_negative(F.col("review_score")).alias("n"))
+    return labelled.groupBy("app_id").agg(F.sum("p").alias("positive_sum"), F.sum("n").alias("negative_sum"))
+
+
+@query("select count(*) as n from rv")
+def grand_total(spark, sf_dir):
+    return _reviews(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query("select client_id, count(distinct app_id || '|' || review_score) as messages from reviews group by client_id")
+def distinct_messages(spark, sf_dir):
+    hashed = views.reviews(spark, sf_dir).select("client_id", F.sha2(F.concat_ws("|", "app_id", "review_score"), 256).alias("h"))
+    return hashed.groupBy("client_id").agg(F.count_distinct("h").alias("messages"))
+
+
+SHARD = "cast((('0x' || substr(sha256(cast({} as varchar)), 1, 16))::ubigint % {}) + 1 as bigint)"
+
+
+@query(f"select distinct app_id, {SHARD.format('app_id', 4)} as shard from rv")
+def shard_column(spark, sf_dir):
+    return _reviews(spark, sf_dir).select("app_id").distinct().select("app_id", text.shard(F.col("app_id"), 4).alias("shard"))
+
+
+@query(f"select client_id, {SHARD.format('app_id', 4)} as shard, count(*) as sent from rv group by all")
+def messages_per_shard(spark, sf_dir):
+    return _reviews(spark, sf_dir).groupBy("client_id", text.shard(F.col("app_id"), 4).alias("shard")).agg(F.count("*").alias("sent"))
+
+
+@query("select o_orderstatus, o_orderkey, row_number() over (partition by o_orderstatus order by o_orderkey) - 1 as row_id from orders", prefix=False)
+def row_numbers(spark, sf_dir):
+    return rel.number_rows(views.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey", 1000)
+
+
+# rankings
+@query("select client_id, app_id, positive_reviews from counts qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5")
+def topk_per_client(spark, sf_dir):
+    return rel.top_k(_counts(spark, sf_dir).drop("negative_reviews"), 5, "positive_reviews", by=("client_id",))
+
+
+@query("select app_id, release_year, avg_playtime from indie where client_id = 1 order by avg_playtime desc, app_id limit 10")
+def topk_merged(spark, sf_dir):
+    rows = clean.indie_years(_games(spark, sf_dir)).where("client_id = 1").drop("client_id")
+    early, late = rows.where("release_year < 2010"), rows.where("release_year >= 2010")
+    return rel.merge_top_k(rel.top_k(early, 10, "avg_playtime"), late, 10, "avg_playtime")
+
+
+@query("select client_id, app_id, name, negative_reviews from action_counts order by negative_reviews, app_id, client_id")
+def ordered_by_negatives(spark, sf_dir):
+    return _action_counts(spark, sf_dir).orderBy("negative_reviews", "app_id", "client_id")
+
+
+# language
+@query(f"select doc_id, detected from ({_language_sql(language.THREE)})")
+def detect_language(spark, sf_dir):
+    return views.text_reviews(spark, sf_dir).select("doc_id", language.detect(F.col("review_text")).alias("detected"))
+
+
+@query(f"select doc_id from ({_language_sql(FOUR)}) where detected = 'en'")
+def english_filter(spark, sf_dir):
+    return views.text_reviews(spark, sf_dir).where(language.detect(F.col("review_text"), FOUR) == "en").select("doc_id")
+
+
+# result texts
+LINES = """, lines as (
+ select 1 as client_id, 'Query 1' as query, p || cast(n as varchar) as line from (select sum(cast(on_linux as int)) as l, sum(cast(on_windows as int)) as w, sum(cast(on_mac as int)) as m from typed where os_ok and client_id = 1), lateral (values ('Linux: ', l), ('Windows: ', w), ('Mac: ', m)) v(p, n)
+ union all select client_id, 'Query 2', 'AppId: ' || app_id || ' ReleaseYear: ' || release_year || ' AvgPlaytimeForever: ' || avg_playtime from (select * from indie where release_year >= 2010 and release_year < 2020 qualify row_number() over (partition by client_id order by avg_playtime desc, app_id) <= 10) where client_id = 1
+ union all select client_id, 'Query 3', 'AppID: ' || app_id || ', GameName: ' || name || ', PositiveReviews: ' || positive_reviews from (select client_id, app_id, name, positive_reviews from counts join indie_names using (client_id, app_id) qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5) where client_id = 1
+ union all select client_id, 'Query 4', 'AppID: ' || app_id || ', GameName: ' || name from action_counts where negative_reviews >= 10 and client_id = 1
+ union all select client_id, 'Query 5', 'AppID: ' || app_id || ', GameName: ' || name || ', NegativeReviews: ' || negative_reviews from action_counts join cut using (client_id) where negative_reviews >= threshold and client_id = 1)
+"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines of client 1."""
+    games, reviews = views.games(spark, sf_dir).where("client_id = 1"), views.reviews(spark, sf_dir).where("client_id = 1")
+    put = lambda rows, n, line: rows.select(F.lit(1).alias("client_id"), F.lit(f"Query {n}").alias("query"), line.alias("line"))
+    c = F.col
+    first = plans.q1(games)
+    first = first.select(F.explode(F.array(*[text.platform_line(p, c(p.lower())) for p in ("Linux", "Windows", "Mac")])).alias("line"))
+    many = rel.filter_threshold(rel.named_negative_counts(plans.action_negatives(games, reviews)), "negative_reviews", 10)
+    return (
+        put(first, 1, c("line"))
+        .unionByName(put(plans.q2(games), 2, text.playtime_line(c("app_id"), c("release_year"), c("avg_playtime"))))
+        .unionByName(put(plans.q3(games, reviews), 3, text.positive_line(c("app_id"), c("name"), c("positive_reviews"))))
+        .unionByName(put(many, 4, text.named_line(c("app_id"), c("name"))))
+        .unionByName(put(plans.q5(games, reviews), 5, text.negative_line(c("app_id"), c("name"), c("negative_reviews"))))
+    )
+
+
+@query(LINES + "select client_id, query, line from lines")
+def result_lines(spark, sf_dir):
+    return _lines(spark, sf_dir)
+
+
+@query(LINES + "select client_id, query, line from lines")
+def result_sink_round_trip(spark, sf_dir):
+    path = work_path(spark, "results")
+    files.write_results(_lines(spark, sf_dir), path)
+    files.write_results(_lines(spark, sf_dir).where("query = 'Query 1'"), path)  # a repeated result replaces itself
+    return files.read_results(spark, path).select(F.col("client_id").cast("int").alias("client_id"), "query", "line")
+
+
+@query(LINES + "select 'Query ' || n as query, line from (select substr(query, 7) as n, line from lines)")
+def result_sections(spark, sf_dir):
+    body = _lines(spark, sf_dir).groupBy("query").agg(F.concat_ws("\n", F.concat("query", F.lit(":")), F.concat_ws("\n\n", F.array_sort(F.collect_list("line")))).alias("value"))
+    path = work_path(spark, "result-texts")
+    body.select("value").write.text(path)
+    return results.sections(files.read_texts(spark, path)).select("query", "line")
+
+
+@query(LINES + "select query, line, 'left' as side from lines where query <> 'Query 2' and ends_with(line, '7') union all select query, line || ' +', 'right' from lines where query <> 'Query 2' and ends_with(line, '7')")
+def result_diff(spark, sf_dir):
+    left = _lines(spark, sf_dir).select("query", "line")
+    changed = F.when((F.col("query") != "Query 2") & F.col("line").endswith("7"), F.concat("line", F.lit(" +"))).otherwise(F.col("line"))
+    return plans.compare(left.union(left), left.select("query", changed.alias("line")))
+
+
+@query(LINES + "select distinct query from lines")
+def result_query_names(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return results.query_names(lines.where("query < 'Query 3'"), lines.where("query > 'Query 1'"))
+
+
+@query(LINES + "select query, array_to_string(list_sort(list(distinct line)), '\n') as lines from lines group by query")
+def result_sorted(spark, sf_dir):
+    return results.sorted_lines(_lines(spark, sf_dir)).select("query", F.array_join("lines", "\n").alias("lines"))
+
+
+# files
+def _as_export(games: DataFrame) -> DataFrame:
+    """Rows as the cleaned games file has them."""
+    return games.select("app_id", F.concat(F.lit('"'), "name", F.lit('", the game')).alias("name"), "windows", "mac", "linux", "genres", "release_date", "avg_playtime", F.lit("1").alias("positive"), F.lit("0").alias("negative"))
+
+
+@query("""select app_id, '"' || name || '", the game' as name, genres, release_date from games where client_id = 1""")
+def games_csv_round_trip(spark, sf_dir):
+    path = work_path(spark, "games-csv")
+    csv.write_clean(_as_export(views.games(spark, sf_dir).where("client_id = 1")), path)
+    good, _ = clean.quarantine(csv.read_games(spark, path), csv.usable(["app_id", "name", "genres", "avg_playtime"]))
+    return good.select("app_id", "name", "genres", "release_date")
+
+
+@query("select app_id, coalesce(replace(review_text, chr(10), ' '), '') as review_text, review_score from text_reviews where coalesce(review_text, '') <> ''")
+def reviews_csv_round_trip(spark, sf_dir):
+    path = work_path(spark, "reviews-csv")
+    rows = views.text_reviews(spark, sf_dir).where("coalesce(review_text, '') <> ''")
+    csv.write_clean(rows.select("app_id", F.replace("review_text", F.lit("\n"), F.lit(" ")).alias("review_text"), "review_score"), path)
+    return csv.read_reviews(spark, path)
+
+
+@query("""select app_id as "AppID", name as "Name", windows as "Windows", mac as "Mac", linux as "Linux", lower(genres) as "Genres", release_date as "Release date", avg_playtime as "Average playtime forever", '1' as "Positive", '0' as "Negative" from games where client_id = 1 and src_key % 7 <> 0""")
+def clean_export(spark, sf_dir):
+    """The cleaning job: a raw export with gaps, read by position, written clean and read again."""
+    names = dict(zip(CLEAN_GAMES, ["app_id", "name", "windows", "mac", "linux", "genres", "release_date", "avg_playtime", None, None], strict=True))
+    rows = views.games(spark, sf_dir).where("client_id = 1")
+    given = {"Positive": F.lit("1"), "Negative": F.lit("0"), "Genres": F.when(F.col("src_key") % 7 != 0, F.upper("genres"))}
+    wide = [given.get(c, F.col(names[c]) if names.get(c) else F.lit(None).cast("string")).alias(f"c{i}") for i, c in enumerate(csv.RAW_GAMES.names)]
+    raw, out = work_path(spark, "raw-export"), work_path(spark, "clean-export")
+    csv.write_clean(rows.select(*wide), raw)
+    csv.write_clean(clean.clean_games(csv.read_raw_games(spark, raw)), out, "parquet")
+    return spark.read.parquet(out)
+
+
+@query("select doc_id, review_text, review_score from text_reviews where review_text is not null and doc_id % 5 <> 0")
+def clean_nulls(spark, sf_dir):
+    rows = views.text_reviews(spark, sf_dir).withColumn("review_score", F.when(F.col("doc_id") % 5 != 0, F.col("review_score")))
+    return rows.dropna(subset=["app_id", "review_text", "review_score"]).select("doc_id", "review_text", "review_score")
+
+
+# tenants
+@query("select client_id, cast(sum(n) as bigint) as announced, cast(sum(case when client_id = 2 and shard = 3 then n - 1 else n end) as bigint) as seen, client_id <> 2 as complete from (select o_custkey % 3 as client_id, o_orderkey % 4 as shard, count(*) as n from orders group by all) group by client_id", prefix=False)
+def completeness_gate(spark, sf_dir):
+    """Every third customer is a client; client 2 misses the first message of shard 3, and all messages come twice."""
+    orders = views.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("client_id"), (F.col("o_orderkey") % 4).alias("sender_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("message_hash"), "o_orderkey")
+    manifest = orders.groupBy("client_id", "sender_id").agg(F.count("*").alias("messages_sent"))
+    lost = orders.where("client_id = 2 and sender_id = 3").agg(F.min("o_orderkey").alias("o_orderkey"))
+    observed = orders.join(F.broadcast(lost), "o_orderkey", "left_anti")  # one row
+    return tenants.completeness(manifest, observed.union(observed), markers=4)
+
+
+@query("select user_id % 50 as client_id, min(event_id // 100) as first_batch, max(event_id // 100) as last_batch, case when max(cast(event_type = 'purchase' as int)) = 1 then 'finished' else 'open' end as status from events group by 1", prefix=False)
+def client_registry(spark, sf_dir):
+    events = views.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("client_id"), F.expr("event_id div 100").alias("batch_id"), "event_type")
+    return tenants.registry(events, events.where("event_type = 'purchase'"))
+
+
+# streams
+@query("select event_type, count(*) as n from events group by event_type", prefix=False)
+def stream_dedupe_counts(spark, sf_dir):
+    """Every event arrives twice."""
+    stream = _stream(spark, sf_dir, "events")
+    twice = jobs.distinct_rows(stream.union(stream), ["event_id"])
+    out = work_path(spark, "stream-counts")
+    jobs.run(jobs.counts(twice, ["event_type"]), work_path(spark, "checkpoint"), jobs.replace_in(out), "complete")
+    return jobs.last_result(spark, out)
+
+
+@query("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders order by 2 desc, 1 limit 10", prefix=False)
+def stream_topk(spark, sf_dir):
+    stream = _stream(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    out = work_path(spark, "stream-topk")
+    jobs.top_k_job(stream, work_path(spark, "checkpoint"), out, 10, "cents", "o_orderkey")
+    return jobs.last_result(spark, out)
+
+
+@query("select client_id, count_if(on_linux) as linux, count_if(on_windows) as windows, count_if(on_mac) as mac from typed where os_ok group by client_id")
+def stream_platform_counts(spark, sf_dir):
+    """Emits on completion: the last batch holds the final counts."""
+    stream = spark.sql(views.GAMES, part=_stream(spark, sf_dir, "part"))
+    out = work_path(spark, "stream-platforms")
+    jobs.run(plans.q1(stream), work_path(spark, "checkpoint"), jobs.replace_in(out), "complete")
+    return jobs.last_result(spark, out)
+
+
+@query("select client_id, app_id, count(*) as negative_reviews from action_negatives group by all")
+def stream_join(spark, sf_dir):
+    """Two streams, in any order; the joined rows are appended and then counted."""
+    games = clean.game_flags(clean.type_games(spark.sql(views.GAMES, part=_stream(spark, sf_dir, "part")))).where("is_action").select(*KEYS, "name")
+    reviews = rel.negatives(clean.type_reviews(spark.sql(views.REVIEWS, lineitem=_stream(spark, sf_dir, "lineitem")))).select(*KEYS)
+    out = work_path(spark, "stream-join")
+    jobs.run(jobs.join_streams(reviews, games, KEYS), work_path(spark, "checkpoint"), jobs.append_to(out))
+    return spark.read.parquet(out).groupBy(*KEYS).agg(F.count("*").alias("negative_reviews"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = views.table(spark, sf_dir, name).schema
+    if _is_folder(spark, f"{sf_dir}/{name}.parquet"):
+        return jobs.read_files(spark, f"{sf_dir}/{name}.parquet", schema)
+    return jobs.read_files(spark, sf_dir, schema, f"{name}.parquet")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
