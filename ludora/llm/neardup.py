@@ -10,10 +10,16 @@ Candidates are verified by the longest common subsequence of their k-mers, align
 similarity of ``SIMILARITY`` leaves; similarity is M / (a + b - M) for M aligned k-mers of a and b.
 
 Work within a bucket grows with its texts, not their pairs. Equal word sequences are one text from the
-start. Every bucket links each of its texts to two pivots, its first and its last; links are verified
-and texts joined into classes. A bucket whose texts ended up in one class is done. In the others, only
-pairs of texts of different classes are compared further, all of them; so no link is lost that
-could join two classes, and dense groups never expand to pairs.
+start. The most central text of a bucket (the one that shares most buckets with most texts) is its
+pivot; every other text of the bucket is verified against it, and linked texts are joined into classes.
+What remains are links between a text x that its pivot p isn't linked with and another text y of the
+same pivot. With D the k-mers that one of x and p has alone, similarity s means that x and y differ in
+at most r (|x| + |y|) k-mers, r = (1 - s) / (1 + s), while they differ in at least
+|D| + |y| - |p| - 2c, c being the k-mers that both have and p lacks. So either c is at least
+(|D| + |y| - |p| - r (|x| + |y|)) / 2, and x and y meet under such a k-mer (a prefix of x's, in order of
+hash, is enough); or y is so short that this is not above 0, which is a join on the pivot and the length.
+Both are exact: no link between texts of different classes that share a bucket is lost, and dense groups
+around a text never expand to pairs.
 
 All texts get a row: doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of
 each class). Null or empty texts and those without words are classes of their own, as nothing in
@@ -159,25 +165,83 @@ def sketched(docs: DataFrame, uid: Column) -> DataFrame:
     return common.map_arrow(rows, run, "uid long, doc_id long, digest binary, words binary, entries array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are alike. ``texts``: uid, words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, of_last = [], None, None
-            for x, y in zip(common.column(batch, "words_a"), common.column(batch, "words_b"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if last != x:
-                    last, of_last = x, kmers(np.frombuffer(x, "<u4").astype(np.uint64))
-                keep.append(similarity(of_last, kmers(np.frombuffer(y, "<u4").astype(np.uint64)), least) > 0)
-            yield pa.record_batch({"a": common.column(batch, "a").filter(pa.array(keep, pa.bool_())), "b": common.column(batch, "b").filter(pa.array(keep, pa.bool_()))})
-
+def in_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the words of both texts. ``texts``: uid, words."""
     asked = common.written(pairs.select("a", "b").distinct(), "pairs")
     ids = asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     needed = common.written(texts.join(ids, "uid", "left_semi"), "pair-texts")
     left = asked.join(needed.select(F.col("uid").alias("a"), F.col("words").alias("words_a")), "a")
-    both = left.join(needed.select(F.col("uid").alias("b"), F.col("words").alias("words_b")), "b")
-    return common.written(common.map_arrow(both.select("a", "b", "words_a", "words_b"), run, "a long, b long"), "links")
+    return left.join(needed.select(F.col("uid").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
+
+
+def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Batches with the k-mers of both texts of each row."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        last, of_last = None, None
+        for x, y in zip(common.column(batch, "words_a"), common.column(batch, "words_b"), strict=True):
+            x, y = x.as_py(), y.as_py()
+            if last != x:
+                last, of_last = x, kmers(np.frombuffer(x, "<u4").astype(np.uint64))
+            yield of_last, kmers(np.frombuffer(y, "<u4").astype(np.uint64))
+
+    for batch in batches:
+        yield batch, read(batch)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, both in each_pair(batches):
+            keep = pa.array([similarity(x, y, least) > 0 for x, y in both], pa.bool_())
+            yield pa.record_batch({"a": common.column(batch, "a").filter(keep), "b": common.column(batch, "b").filter(keep)})
+
+    return common.written(common.map_arrow(in_pairs(pairs, texts), run, "a long, b long"), "links")
+
+
+def against_pivot(pivot: np.ndarray, text: np.ndarray, least: float) -> tuple[bool, int, int, np.ndarray]:
+    """Whether the two are linked; the length of the text; up to which length others must be compared with it; k-mers under which it meets others."""
+    r = (1 - least) / (1 + least)
+    p, x = labelled(pivot), labelled(text)
+    own = np.setdiff1d(x, p)  # in order of hash
+    linked = similarity(pivot, text, least) > 0
+    if linked:
+        return True, len(x), 0, own
+    apart = len(own) + len(p) - (len(x) - len(own))
+    shortest = int(np.ceil(least * len(x) - 1e-9))
+    needed = max(1, int(np.ceil((apart + shortest - len(p) - r * (len(x) + shortest)) / 2 - 1e-9)))
+    upto = int(np.floor((len(p) + r * len(x) - apart) / (1 - r) + 1e-9))
+    return False, len(x), upto if upto >= shortest else 0, own[: max(0, len(own) - needed + 1)]
+
+
+def compared(stars: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs of pivot a and text b with linked, length, upto and meets (hashes of k-mers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, both in each_pair(batches):
+            found = [against_pivot(x, y, least) for x, y in both]
+            meets = [(m >> np.uint64(32)).astype(np.uint32).view(np.int32) for *_, m in found]
+            yield pa.record_batch({
+                "a": common.column(batch, "a"), "b": common.column(batch, "b"), "linked": pa.array([f[0] for f in found], pa.bool_()), "length": pa.array([f[1] for f in found], pa.int32()),
+                "upto": pa.array([f[2] for f in found], pa.int32()), "meets": pa.array(meets, pa.list_(pa.int32())),
+            })
+
+    return common.written(common.map_arrow(in_pairs(stars, texts), run, "a long, b long, linked boolean, length int, upto int, meets array<int>"), "stars")
+
+
+def left_over(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of one pivot and different classes that can still be alike."""
+    open_ = stars.where("not linked").select("a").distinct()
+    placed = stars.join(open_, "a", "left_semi").join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    placed = common.written(placed.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "root", "linked", "length", "upto", "meets"), "open-stars")
+    apart = placed.where("not linked")
+    keyed = lambda df: df.select("pivot", "uid", "root", F.explode("meets").alias("mer"))
+    other = lambda df: df.withColumnRenamed("uid", "other").withColumnRenamed("root", "other_root")
+    met = keyed(apart).join(other(keyed(placed)), ["pivot", "mer"]).where("uid != other and root != other_root")
+    short = apart.where("upto > 0").select("pivot", "uid", "root", "upto").join(other(placed.select("pivot", "uid", "root", "length")), "pivot").where("length <= upto and uid != other and root != other_root")
+    pairs = met.select("uid", "other").union(short.select("uid", "other"))
+    return pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -214,26 +278,22 @@ def decide(docs: DataFrame, uid: Column, least: float = SIMILARITY) -> DataFrame
     texts = common.written(rows.where("entries is not null").groupBy("digest").agg(F.min("uid").alias("rep")), "distinct-texts")
     reps = rows.join(texts.select(F.col("rep").alias("uid")), "uid", "left_semi")
     members = reps.select("uid", F.posexplode("entries").alias("no", "entry")).select("uid", F.xxhash64("no", "entry").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first != last")
+    several = common.written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     shared = common.written(members.join(several, "bucket"), "buckets")
-    pivots = shared.select(F.col("first").alias("a"), F.col("uid").alias("b")).union(shared.select(F.col("uid").alias("a"), F.col("last").alias("b"))).where("a != b")
+    central = common.written(shared.groupBy("uid").agg(F.sum("n").alias("degree")), "degrees")
+    pivots = common.written(shared.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("uid")).alias("uid"))).alias("top")).select("bucket", (-F.col("top.uid")).alias("pivot")), "pivots")
+    pairs = shared.join(pivots, "bucket").where("uid != pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     body = rows.select("uid", "words")
-    links = verified(pivots, body, least)
+    stars = compared(pairs, body, least)
+    links = stars.where("linked").select("a", "b")
     roots = components(links)
-    # texts of different classes that share a bucket: compared in full
-    placed = shared.select("bucket", "uid").join(roots, "uid", "left").select("bucket", "uid", F.coalesce("root", "uid").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    mixed = common.written(placed.join(open_, "bucket", "left_semi"), "open-buckets")
-    other = mixed.select("bucket", F.col("uid").alias("b"), F.col("root").alias("root_b"))
-    pairs = mixed.select("bucket", F.col("uid").alias("a"), "root").join(other, "bucket").where("a < b and root != root_b").select("a", "b")
-    fresh = pairs.distinct().join(pivots.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    more = verified(fresh, body, least)
+    more = verified(left_over(stars, roots), body, least)
     if not more.isEmpty():
         roots = components(links.union(more))
     classes = rows.select("uid", "doc_id", F.when(F.col("entries").isNotNull(), F.col("digest")).alias("digest")).join(texts, "digest", "left")
     classed = classes.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", "doc_id", F.coalesce("root", "rep", "uid").alias("root"))
     classed = common.written(classed, "classes")
-    heads = classed.groupBy("root").agg(F.min(ranked).alias("head"), F.count("*").alias("class_size"))
+    heads = common.written(classed.groupBy("root").agg(F.min(ranked).alias("head"), F.count("*").alias("class_size")), "heads")
     return classed.join(heads, "root").select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
