@@ -68,7 +68,7 @@ class SecondTier:
                     continue
                 new[w] = n
             out[w] = n
-        got = dict(zip(todo, map(len, encode(todo)), strict=True)) if todo else {}
+        got = dict(zip(todo, encode(todo)[1].tolist(), strict=True)) if todo else {}
         new.update((w, n) for w, n in got.items() if len(w) <= tokens.CACHED_CHARS)
         if len(new) > self.limit:
             self.old, self.new = new, {}
@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, share: float = SHARE, limit: i
                 keys, at, parts = enc.codes(texts.filter(pa.array(~whole)))
                 known = [top.get(k, -1) for k in keys]
                 missing = [k for k, x in zip(keys, known, strict=True) if x < 0]
-                found = rare.lengths(missing, enc.encode_parts)
+                found = rare.lengths(missing, enc.encode_flat)
                 lengths = np.array([found[k] if x < 0 else x for k, x in zip(keys, known, strict=True)], np.int64)
                 ends = np.concatenate([[0], np.cumsum(lengths[at])])
                 n[~whole] = np.diff(ends[np.concatenate([[0], np.cumsum(parts)])])

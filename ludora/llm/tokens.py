@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 CACHED_CHARS = 48
 #: Parts in a worker's cache; beyond it the less used half goes.
 CACHED_PARTS = 600_000
-TAIL = re.compile(r"(.*[^\W_İ])([!-/:-@\[-`{-~]+)\Z", re.S)  # İ is two characters in lower case
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = r"[\t-\r\x1c- \x{85}\pZ]"
 
 
@@ -42,13 +42,13 @@ class Parts:
         self.starts, self.lens, self.hits = np.cumsum(lens) - lens, lens, self.hits[keep] // 2
         self.slot = {keys[k]: i for i, k in enumerate(keep.tolist())}
 
-    def add(self, keys: list[str], ids: list[list[int]]) -> None:
-        n, lens = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, keys: list[str], starts: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.slot)
         self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
         self.lens = np.concatenate([self.lens, lens])
         self.hits = np.concatenate([self.hits, np.zeros(len(keys), np.int32)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.int32, int(lens.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
 
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -58,6 +58,15 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out + np.arange(total)
 
 
+#: starts, lengths and the ids that they point into
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def flattened(ids: list[list[int]]) -> Flat:
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.cumsum(lens) - lens, lens, np.fromiter((x for y in ids for x in y), np.int32, int(lens.sum()))
+
+
 class Encoder:
     """``ids(texts)`` gives all ids end to end and the number of them in each text."""
 
@@ -71,42 +80,41 @@ class Encoder:
         raise NotImplementedError
 
     def encode_parts(self, parts: list[str]) -> list[list[int]]:
-        return self.library(parts)
+        starts, lens, flat = self.encode_flat(parts)
+        return [flat[a : a + n].tolist() for a, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
-    def resolve(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts, lengths and the ids they point into."""
+    def encode_flat(self, parts: list[str]) -> Flat:
+        return flattened(self.library(parts))
+
+    def resolve(self, keys: list[str]) -> Flat:
         store = self.parts
         if len(store.slot) > store.limit:
             store.shrink()
         get = store.slot.get
-        slots = [get(k, -1) for k in keys]
-        missing = [i for i, s in enumerate(slots) if s < 0]
-        if missing:
-            words = [keys[i] for i in missing]
-            ids = self.encode_parts(words)
-            short = [j for j, w in enumerate(words) if len(w) <= CACHED_CHARS]
-            if len(short) == len(words):
-                base = len(store.slot)
-                store.add(words, ids)
-                for j, i in enumerate(missing):
-                    slots[i] = base + j
-            else:  # long parts are used and forgotten
-                base = len(store.slot)
-                store.add([words[j] for j in short], [ids[j] for j in short])
-                for n, j in enumerate(short):
-                    slots[missing[j]] = base + n
-                at = np.array(slots, np.int64)
-                long = [j for j, w in enumerate(words) if len(w) > CACHED_CHARS]
-                lens = np.fromiter((len(ids[j]) for j in long), np.int64, len(long))
-                known = np.maximum(at, 0)
-                starts, sizes = (store.starts[known], store.lens[known]) if len(store.starts) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
-                where = np.array([missing[j] for j in long])
-                starts[where], sizes[where] = len(store.flat) + np.cumsum(lens) - lens, lens
-                store.hits[at[at >= 0]] += 1
-                return starts, sizes, np.concatenate([store.flat, np.fromiter((x for j in long for x in ids[j]), np.int32, int(lens.sum()))])
-        at = np.array(slots, np.int64)
-        store.hits[at] += 1
-        return store.starts[at], store.lens[at], store.flat
+        at = np.array([get(k, -1) for k in keys], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            store.hits[at] += 1
+            return store.starts[at], store.lens[at], store.flat
+        words = [keys[i] for i in missing.tolist()]
+        starts, lens, flat = self.encode_flat(words)
+        short = np.array([len(w) <= CACHED_CHARS for w in words])
+        if short.all():
+            at[missing] = len(store.slot) + np.arange(len(missing))
+            store.add(words, starts, lens, flat)
+            store.hits[at] += 1
+            return store.starts[at], store.lens[at], store.flat
+        base = len(store.flat)  # long parts are used and forgotten
+        both = np.concatenate([store.flat, flat])
+        all_starts, all_lens = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        all_starts[missing], all_lens[missing] = base + starts, lens
+        known = np.flatnonzero(at >= 0)
+        all_starts[known], all_lens[known] = store.starts[at[known]], store.lens[at[known]]
+        store.hits[at[known]] += 1
+        kept = np.flatnonzero(short)
+        of_kept = flat[spread(starts[kept], lens[kept])]
+        store.add([words[i] for i in kept.tolist()], np.cumsum(lens[kept]) - lens[kept], lens[kept], of_kept)
+        return all_starts, all_lens, both
 
     def codes(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct parts, the number of a part at each place, and the number of places in each text."""
@@ -181,47 +189,59 @@ class JsonEncoder(Encoder):
         self.mark = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.mark[i] = token.endswith("</w>") if drops else token.startswith("Ġ")
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+" if drops else " [A-Za-zÀ-ÖØ-öø-ÿ]+") if drops or keeps else None
+        letters = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
+        self.plain = f"^{letters}" if drops else f"^ {letters}" if keeps else None
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each; those of letters only go in long lines, in which the marks tell them apart."""
-        plain = self.plain.fullmatch if self.plain else lambda _: False
-        is_plain = [bool(plain(w)) for w in words]
-        lines = [w for w, p in zip(words, is_plain, strict=True) if p]
-        got: list[list[int]] = []
-        gap = " " if self.first_as_rest else ""
+    def words(self, words: pa.Array) -> Flat:
+        """Ids of each; words of letters only go in long lines, in which the marks tell them apart."""
+        if self.plain is None:
+            return flattened(self.library(words.to_pylist()))
+        plain = pc.match_substring_regex(words, self.plain).to_numpy(zero_copy_only=False)
+        lines, gap = words.filter(pa.array(plain)).to_pylist(), " " if self.first_as_rest else ""
+        flats, sizes = [], []
         for at in range(0, len(lines), 2000):
             some = lines[at : at + 2000]
             ids = np.array(self.library([gap.join(some)])[0], np.int32)
             edges = np.flatnonzero(self.mark[ids])
             if len(edges) != len(some):
-                got += self.library(some)
-                continue
-            edges = edges + 1 if self.first_as_rest else np.append(edges[1:], len(ids))
-            flat, a = ids.tolist(), 0
-            for b in edges.tolist():
-                got.append(flat[a:b])
-                a = b
-        if len(lines) == len(words):
-            return got
-        rest = iter(self.library([w for w, p in zip(words, is_plain, strict=True) if not p]))
-        quick = iter(got)
-        return [next(quick) if p else next(rest) for p in is_plain]
-
-    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+                _, lens, ids = flattened(self.library(some))
+            else:
+                lens = np.diff(edges, prepend=-1) if self.first_as_rest else np.diff(edges, append=len(ids))
+            flats.append(ids)
+            sizes.append(lens)
+        _, lens, flat = flattened(self.library(words.filter(pa.array(~plain)).to_pylist()))
+        all_lens = np.zeros(len(words), np.int64)
+        all_lens[plain], all_lens[~plain] = np.concatenate(sizes) if sizes else 0, lens
+        starts, quick = np.zeros(len(words), np.int64), np.concatenate(flats) if flats else np.zeros(0, np.int32)
+        starts[plain] = np.cumsum(all_lens[plain]) - all_lens[plain]
+        starts[~plain] = len(quick) + np.cumsum(lens) - lens
+        return starts, all_lens, np.concatenate([quick, flat])
+
+    def encode_flat(self, parts: list[str]) -> Flat:
         """A word and the punctuation after it are pre-tokens of their own: each distinct one is encoded once."""
-        heads, tails = [], []
-        for p in parts:
-            m = TAIL.match(p) if "<|" not in p else None
-            heads.append(m[1] if m else p)
-            tails.append(m[2] if m else "")
-        known = {w: None for w in heads} | {t: None for t in tails if t}
-        todo = list(known)
-        known = dict(zip(todo, self.words(todo), strict=True))
-        return [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)]
+        whole = pa.array(parts, pa.large_string())
+        heads = pc.utf8_rtrim(whole, PUNCTUATION)
+        parted = pc.and_(pc.less(pc.binary_length(heads), pc.binary_length(whole)), pc.match_substring_regex(heads, r"[\pL\pN]$"))
+        odd = pc.or_(pc.ends_with(heads, "İ"), pc.match_substring(whole, "<|"))  # İ is two characters in lower case
+        cut = pc.and_(parted, pc.invert(odd))
+        heads = pc.if_else(cut, heads, whole)
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        tails = [parts[i][n:] for i, n in zip(at.tolist(), pc.utf8_length(heads).to_numpy()[at].tolist(), strict=True)]
+        first, second = heads.dictionary_encode(), pa.array(tails, pa.large_string()).dictionary_encode()
+        starts, lens, flat = self.words(pa.concat_arrays([first.dictionary, second.dictionary]))
+        both = np.zeros((len(parts), 2), np.int64)
+        both[:, 0] = first.indices.to_numpy()
+        both[at, 1] = len(first.dictionary) + second.indices.to_numpy()
+        sizes = lens[both] if len(lens) else np.zeros_like(both)
+        tailless = np.ones(len(parts), bool)
+        tailless[at] = False
+        sizes[tailless, 1] = 0
+        ids = flat[spread(starts[both].ravel(), sizes.ravel())]
+        lens = sizes.sum(1)
+        return np.cumsum(lens) - lens, lens, ids
 
 
 class PieceEncoder(Encoder):
