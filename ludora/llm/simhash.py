@@ -1,8 +1,9 @@
 """Op 8: SimHash fingerprints in DataFrame functions only, and all of them within a Hamming radius.
 
 Terms are pairs of neighbouring words. A term's hash votes on every bit with the term's weight, its
-length in bytes up to a bound; a bit is set when the votes for it pass half of all. The votes of two bits
-share one long (32 bits each), so that 256 bits are 128 plain sums in one hash aggregate.
+length in bytes up to a bound; a bit is set when the votes for it pass half of all. The votes of four bits
+share one long (16 bits each) within runs of ``CHUNK`` terms, so that 128 bits are 32 plain sums in one hash
+aggregate; the sums of a text's runs are then added in 32 bits each, so texts of any length count whole.
 
 Rows are dealt once by ranges of doc_id: cut points are quantiles of doc_id, and the row at a cut goes
 to the range before it as well, so that every row finds the next document beside it. All later steps
@@ -22,10 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from . import common
 
-LONGS = 4
+LONGS = 2
 BITS = 64 * LONGS
 MAX_WEIGHT = 24
-LANES = (1 << 32) + 1
+#: Terms whose votes are summed in 16 bits: weights and number keep them below 2**16.
+CHUNK = 2048
+LANES = 0x0001000100010001
+WIDE = 0x0000FFFF0000FFFF
 LOW = (1 << 32) - 1
 FIRST_ID = -(1 << 63)
 
@@ -37,18 +41,28 @@ def terms(text: Column) -> Column:
 
 
 def votes() -> list[Column]:
-    """Sums of the terms' votes: the total weight, then a sum for bits k and k + 32 of each hash."""
+    """Sums of the terms' votes: the total weight, then a sum for bits k, k + 16, k + 32 and k + 48 of each hash."""
     out = [F.sum("weight").alias("w")]
     for j in range(LONGS):
-        out += [F.sum(F.shiftrightunsigned(F.col(f"h{j}"), k).bitwiseAND(F.lit(LANES)) * F.col("weight")).alias(f"v{j}_{k}") for k in range(32)]
+        out += [F.sum(F.shiftrightunsigned(F.col(f"h{j}"), k).bitwiseAND(F.lit(LANES)) * F.col("weight")).alias(f"v{j}_{k}") for k in range(16)]
+    return out
+
+
+def widened() -> list[Column]:
+    """Sums of the chunks' sums, two of 32 bits in a long: bits k and k + 32, then k + 16 and k + 48."""
+    out = [F.sum("w").alias("w")]
+    for j in range(LONGS):
+        for k in range(32):
+            v = F.col(f"v{j}_{k % 16}")
+            out.append(F.sum((F.shiftrightunsigned(v, 16) if k >= 16 else v).bitwiseAND(F.lit(WIDE))).alias(f"s{j}_{k}"))
     return out
 
 
 def bits(j: int) -> Column:
-    """The j-th long of a fingerprint from the sums of ``votes``."""
+    """The j-th long of a fingerprint from the sums of ``widened``."""
     parts = []
     for k in range(32):
-        v = F.col(f"v{j}_{k}")
+        v = F.col(f"s{j}_{k}")
         parts.append(F.when(v.bitwiseAND(F.lit(LOW)) * 2 > F.col("w"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
         high = (1 << (k + 32)) if k < 31 else -(1 << 63)
         parts.append(F.when(F.shiftrightunsigned(v, 32) * 2 > F.col("w"), F.lit(high)).otherwise(F.lit(0)).cast("long"))
@@ -57,11 +71,12 @@ def bits(j: int) -> Column:
 
 def vote(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Fingerprints f0 ... of ``text``, one row for each row of ``keys``."""
-    exploded = texts.select(*keys, F.explode(terms(F.col(text))).alias("t"))
+    exploded = texts.select(*keys, F.posexplode(terms(F.col(text))).alias("place", "t"))
     first, second = F.col("t.a"), F.col("t.b")
     weight = F.least(F.octet_length(first) + F.coalesce(F.octet_length(second), F.lit(0)) + 1, F.lit(MAX_WEIGHT)).cast("long")
-    hashed = exploded.select(*keys, weight.alias("weight"), *[F.xxhash64(F.lit(j), first, second).alias(f"h{j}") for j in range(LONGS)])
-    return hashed.groupBy(*keys).agg(*votes()).select(*keys, *[bits(j).alias(f"f{j}") for j in range(LONGS)])
+    hashed = exploded.select(*keys, F.expr(f"place div {CHUNK}").alias("chunk"), weight.alias("weight"), *[F.xxhash64(F.lit(j), first, second).alias(f"h{j}") for j in range(LONGS)])
+    chunks = hashed.groupBy(*keys, "chunk").agg(*votes())
+    return chunks.groupBy(*keys).agg(*widened()).select(*keys, *[bits(j).alias(f"f{j}") for j in range(LONGS)])
 
 
 def hamming(a: str, b: str) -> Column:
@@ -120,7 +135,7 @@ def with_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     return paired.where("halo = 0").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), hex_of("f").alias("fingerprint"), hex_of("e").alias("edited_fingerprint"), like("e").alias("near_edited"), like("n").alias("near_next"))
 
 
-def within(prints: DataFrame, wanted: DataFrame, radius: int = 8, blocks: int = 10) -> DataFrame:
+def within(prints: DataFrame, wanted: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
     """(doc_id, other_id, distance): for each row of ``wanted`` all rows of ``prints`` within ``radius`` bits.
 
     A fingerprint is cut into ``blocks``; two within the radius share at least blocks - radius of them

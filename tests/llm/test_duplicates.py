@@ -181,13 +181,13 @@ def test_within_radius_matches_brute_force(spark):
     r = random.Random(5)
     rows = []
     for i in range(60):
-        base = [r.getrandbits(64) for _ in range(4)]
+        base = [r.getrandbits(64) for _ in range(simhash.LONGS)]
         for k in range(3):
             copy = list(base)
             for _ in range(r.randint(0, 6) if k else 0):
-                copy[r.randrange(4)] ^= 1 << r.randrange(64)
+                copy[r.randrange(simhash.LONGS)] ^= 1 << r.randrange(64)
             rows.append((3 * i + k, *[x - (1 << 64) if x >> 63 else x for x in copy]))
-    prints = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    prints = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"f{j} long" for j in range(simhash.LONGS)))
     distance = lambda a, b: sum(bin((x ^ y) & 0xFFFFFFFFFFFFFFFF).count("1") for x, y in zip(a[1:], b[1:], strict=True))
     want = sorted((a[0], b[0], distance(a, b)) for a in rows if a[0] % 2 == 0 for b in rows if a[0] != b[0] and distance(a, b) <= 4)
     got = simhash.within(prints, prints.where("doc_id % 2 = 0"), radius=4, blocks=6)
