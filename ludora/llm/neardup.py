@@ -18,8 +18,10 @@ at most r (|x| + |y|) k-mers, r = (1 - s) / (1 + s), while they differ in at lea
 |D| + |y| - |p| - 2c, c being the k-mers that both have and p lacks. So either c is at least
 (|D| + |y| - |p| - r (|x| + |y|)) / 2, and x and y meet under such a k-mer (a prefix of x's, in order of
 hash, is enough); or y is so short that this is not above 0, which is a join on the pivot and the length.
-Both are exact: no link between texts of different classes that share a bucket is lost, and dense groups
-around a text never expand to pairs.
+Meetings are kept only if the texts can be alike by length and by parity: each k-mer flips one of ``PARITY``
+bits of its text's mask, so masks differ in no more bits than texts in k-mers. All of this is exact: no
+link between texts of different classes that share a bucket is lost, and dense groups around a text
+never expand to pairs.
 
 All texts get a row: doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of
 each class). Null or empty texts and those without words are classes of their own, as nothing in
@@ -45,6 +47,9 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 6
+#: Longs of a text's parity mask.
+MASKS = 4
+PARITY = 64 * MASKS
 SALTS = np.random.default_rng(20240229).integers(1, 1 << 62, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,19 +205,25 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return common.written(common.map_arrow(in_pairs(pairs, texts), run, "a long, b long"), "links")
 
 
-def against_pivot(pivot: np.ndarray, text: np.ndarray, least: float) -> tuple[bool, int, int, np.ndarray]:
-    """Whether the two are linked; the length of the text; up to which length others must be compared with it; k-mers under which it meets others."""
+def parity(mers: np.ndarray) -> np.ndarray:
+    """Mask of a set of k-mers, in longs: each flips the bit of its last bits."""
+    odd = np.bincount((mers % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def against_pivot(pivot: np.ndarray, text: np.ndarray, least: float) -> tuple[bool, np.ndarray, int, int, np.ndarray]:
+    """Whether the two are linked; the text's mask and length; up to which length others must be compared with it; k-mers under which it meets others."""
     r = (1 - least) / (1 + least)
     p, x = labelled(pivot), labelled(text)
     own = np.setdiff1d(x, p)  # in order of hash
     linked = similarity(pivot, text, least) > 0
     if linked:
-        return True, len(x), 0, own
+        return True, parity(x), len(x), 0, own
     apart = len(own) + len(p) - (len(x) - len(own))
     shortest = int(np.ceil(least * len(x) - 1e-9))
     needed = max(1, int(np.ceil((apart + shortest - len(p) - r * (len(x) + shortest)) / 2 - 1e-9)))
     upto = int(np.floor((len(p) + r * len(x) - apart) / (1 - r) + 1e-9))
-    return False, len(x), upto if upto >= shortest else 0, own[: max(0, len(own) - needed + 1)]
+    return False, parity(x), len(x), upto if upto >= shortest else 0, own[: max(0, len(own) - needed + 1)]
 
 
 def compared(stars: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -223,25 +234,31 @@ def compared(stars: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             found = [against_pivot(x, y, least) for x, y in both]
             meets = [(m >> np.uint64(32)).astype(np.uint32).view(np.int32) for *_, m in found]
             yield pa.record_batch({
-                "a": common.column(batch, "a"), "b": common.column(batch, "b"), "linked": pa.array([f[0] for f in found], pa.bool_()), "length": pa.array([f[1] for f in found], pa.int32()),
-                "upto": pa.array([f[2] for f in found], pa.int32()), "meets": pa.array(meets, pa.list_(pa.int32())),
+                "a": common.column(batch, "a"), "b": common.column(batch, "b"), "linked": pa.array([f[0] for f in found], pa.bool_()), "length": pa.array([f[2] for f in found], pa.int32()),
+                "upto": pa.array([f[3] for f in found], pa.int32()), "meets": pa.array(meets, pa.list_(pa.int32())), **{f"m{j}": pa.array([f[1][j] for f in found], pa.int64()) for j in range(MASKS)},
             })
 
-    return common.written(common.map_arrow(in_pairs(stars, texts), run, "a long, b long, linked boolean, length int, upto int, meets array<int>"), "stars")
+    return common.written(common.map_arrow(in_pairs(stars, texts), run, "a long, b long, linked boolean, length int, upto int, meets array<int>, " + ", ".join(f"m{j} long" for j in range(MASKS))), "stars")
 
 
-def left_over(stars: DataFrame, roots: DataFrame) -> DataFrame:
+def left_over(stars: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of texts of one pivot and different classes that can still be alike."""
     open_ = stars.where("not linked").select("a").distinct()
     placed = stars.join(open_, "a", "left_semi").join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    placed = common.written(placed.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "root", "linked", "length", "upto", "meets"), "open-stars")
+    sizes = ["linked", "length", *[f"m{j}" for j in range(MASKS)]]
+    placed = common.written(placed.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "root", "upto", "meets", *sizes), "open-stars")
     apart = placed.where("not linked")
-    keyed = lambda df: df.select("pivot", "uid", "root", F.explode("meets").alias("mer"))
-    other = lambda df: df.withColumnRenamed("uid", "other").withColumnRenamed("root", "other_root")
-    met = keyed(apart).join(other(keyed(placed)), ["pivot", "mer"]).where("uid != other and root != other_root")
-    short = apart.where("upto > 0").select("pivot", "uid", "root", "upto").join(other(placed.select("pivot", "uid", "root", "length")), "pivot").where("length <= upto and uid != other and root != other_root")
-    pairs = met.select("uid", "other").union(short.select("uid", "other"))
-    return pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
+    of_other = lambda df: df.select([F.col(c).alias(c if c in ("pivot", "mer") else f"other_{c}") for c in df.columns])
+    keyed = lambda df: df.select("pivot", "uid", "root", *sizes, F.explode("meets").alias("mer"))
+    differ = sum((F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"other_m{j}"))) for j in range(MASKS)), F.lit(0))
+    both = F.col("length") + F.col("other_length")
+    alike = (differ <= (1 - least) / (1 + least) * both + 1e-6) & (F.least("length", "other_length") >= least * F.greatest("length", "other_length") - 1e-6)
+    new = (F.col("root") != F.col("other_root")) & (F.col("other_linked") | (F.col("uid") < F.col("other_uid"))) & alike
+    met = keyed(apart).join(of_other(keyed(placed)), ["pivot", "mer"]).where(new)
+    each = F.col("root") != F.col("other_root")  # here both orders count: only one of the two may be short
+    short = apart.where("upto > 0").drop("meets").join(of_other(placed.select("pivot", "uid", "root", *sizes)), "pivot").where(each & alike & (F.col("other_length") <= F.col("upto")))
+    pairs = met.select("uid", "other_uid").union(short.select("uid", "other_uid"))
+    return pairs.select(F.least("uid", "other_uid").alias("a"), F.greatest("uid", "other_uid").alias("b")).distinct()
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -287,7 +304,7 @@ def decide(docs: DataFrame, uid: Column, least: float = SIMILARITY) -> DataFrame
     stars = compared(pairs, body, least)
     links = stars.where("linked").select("a", "b")
     roots = components(links)
-    more = verified(left_over(stars, roots), body, least)
+    more = verified(left_over(stars, roots, least), body, least)
     if not more.isEmpty():
         roots = components(links.union(more))
     classes = rows.select("uid", "doc_id", F.when(F.col("entries").isNotNull(), F.col("digest")).alias("digest")).join(texts, "digest", "left")
