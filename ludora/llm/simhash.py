@@ -26,8 +26,8 @@ from . import common
 LONGS = 2
 BITS = 64 * LONGS
 MAX_WEIGHT = 24
-#: Terms whose votes are summed in 16 bits: weights and number keep them below 2**16.
-CHUNK = 2048
+#: Terms whose votes are summed in 16 bits: weights and number keep them below 2**15, so that the highest never reaches the sign.
+CHUNK = 1024
 LANES = 0x0001000100010001
 WIDE = 0x0000FFFF0000FFFF
 LOW = (1 << 32) - 1

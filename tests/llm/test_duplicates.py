@@ -177,6 +177,14 @@ def test_simhash_bits_are_majorities(spark):
     assert got["f0"] & 0xFFFFFFFFFFFFFFFF == want
 
 
+def test_long_texts_of_long_words_have_room(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(["heavyweightword" + r.choice("abc")] * n)) for i, n in ((1, 5000), (2, 1024), (3, 1025))]
+    assert simhash.CHUNK * simhash.MAX_WEIGHT < 1 << 15
+    got = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3
+
+
 def test_within_radius_matches_brute_force(spark):
     r = random.Random(5)
     rows = []
