@@ -98,9 +98,12 @@ def sketch(mers: np.ndarray) -> np.ndarray:
     if len(mers) <= TAKEN:
         chosen = np.broadcast_to(mers, (SKETCHES, len(mers)))
     else:
-        h = (mers ^ SALTS[:, 1:]) * SALTS[:, :1]
-        h ^= h >> np.uint64(32)
-        chosen = mers[np.sort(np.argpartition(h, TAKEN, axis=1)[:, :TAKEN], axis=1)]
+        at, some = [], max(1, (1 << 21) // len(mers))  # hash functions at once: a long text takes fewer
+        for lo in range(0, SKETCHES, some):
+            h = (mers ^ SALTS[lo : lo + some, 1:]) * SALTS[lo : lo + some, :1]
+            h ^= h >> np.uint64(32)
+            at.append(np.argpartition(h, TAKEN, axis=1)[:, :TAKEN])
+        chosen = mers[np.sort(np.concatenate(at), axis=1)]
     for j in range(chosen.shape[1]):
         out = (out ^ chosen[:, j]) * MIX
         out ^= out >> np.uint64(31)
