@@ -21,7 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality is at the threshold or above."""
-    scored = quality.score(docs, common.table(spark, sf_dir, "labels"), docs.columns)
+    # written first: Spark would push the decision below the statistics and take each of them anew for every rule
+    scored = common.written(quality.score(docs, common.table(spark, sf_dir, "labels"), docs.columns), "scored")
     return scored.where(F.col("predicted") == 1).select(docs.columns)
 
 
