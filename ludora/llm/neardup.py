@@ -3,8 +3,12 @@
 A text is a sequence of k-mers of five words (lower case, punctuation off the ends of words). K-mers that
 repeat are labelled with their occurrence. Each of ``SKETCHES`` hash functions takes the ``TAKEN`` k-mers
 of smallest hash and keeps them in text order; that tuple's hash is one entry of the sketch. Two texts
-are candidates when they share an entry. Texts of J = 0.8 are missed with a chance of 6e-5; reordered
-texts share few entries.
+are candidates when they share an entry; with i of u k-mers in common and in order, none is shared with a
+chance of (1 - C(i, 6) / C(u, 6))^32. Few k-mers make that large, so texts of up to ``SHORT`` k-mers have no
+sketch: they and all texts of up to ``SHORT`` / similarity k-mers are in a bucket for each of their
+|x| - ceil(similarity |x|) + 1 k-mers of smallest value. Two alike texts have at least similarity |x| k-mers in
+common, so they share one of those, and no pair with a short text is missed. Above, the chance is at most
+1.5e-4 at 0.8 (40 of 50 k-mers) and nears 6e-5 for long texts; reordered texts share few entries.
 
 Candidates are verified by the longest common subsequence of their k-mers, aligned within the band that a
 similarity of ``SIMILARITY`` leaves; similarity is M / (a + b - M) for M aligned k-mers of a and b.
@@ -47,6 +51,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 6
+#: K-mers of a text up to which its candidates are exact.
+SHORT = 40
 #: Longs of a text's parity mask.
 MASKS = 4
 PARITY = 64 * MASKS
@@ -110,6 +116,17 @@ def sketch(mers: np.ndarray) -> np.ndarray:
     return out
 
 
+def entries_of(mers: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Buckets of a text: its sketch, its k-mers of smallest value, or both where it meets texts of either kind."""
+    found, n = [], len(mers)
+    if n > SHORT:
+        found.append(sketch(mers))
+    if n * least <= SHORT + 1e-9:
+        first = np.sort(labelled(mers))[: n - int(np.ceil(least * n - 1e-9)) + 1]
+        found.append(first * MIX ^ first >> np.uint64(31))
+    return np.concatenate(found)
+
+
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence with matches at most ``band`` places off the diagonal, bit-parallel in a sliding window."""
     places: dict[int, list[int]] = defaultdict(list)
@@ -150,7 +167,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return s if s >= least else 0.0
 
 
-def sketched(docs: DataFrame, uid: Column) -> DataFrame:
+def sketched(docs: DataFrame, uid: Column, least: float) -> DataFrame:
     """uid, doc_id, digest (of the words), words (hashes) and entries of every document; entries are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +180,8 @@ def sketched(docs: DataFrame, uid: Column) -> DataFrame:
                 raw = w.tobytes()
                 digests.append(xxhash.xxh3_128_digest(raw))
                 raws.append((w >> np.uint64(32)).astype("<u4").tobytes())
-                entries.append(sketch(kmers(w)).view(np.int64) if n else None)
-            sizes = np.array([0 if e is None else SKETCHES for e in entries])
+                entries.append(entries_of(kmers(w), least).view(np.int64) if n else None)
+            sizes = np.array([0 if e is None else len(e) for e in entries])
             flat = np.concatenate([e for e in entries if e is not None]) if sizes.any() else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()), mask=pa.array(sizes == 0))
             yield pa.record_batch({"uid": common.column(b, "uid"), "doc_id": common.column(b, "doc_id"), "digest": pa.array(digests, pa.binary()), "words": pa.array(raws, pa.binary()), "entries": lists})
@@ -293,11 +310,11 @@ def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def decide(docs: DataFrame, uid: Column, least: float = SIMILARITY) -> DataFrame:
     """uid, doc_id, class_id, class_size, kept of every document."""
-    rows = common.written(sketched(docs, uid), "sketches")
+    rows = common.written(sketched(docs, uid, least), "sketches")
     ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
     texts = common.written(rows.where("entries is not null").groupBy("digest").agg(F.min("uid").alias("rep")), "distinct-texts")
     reps = rows.join(texts.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    members = reps.select("uid", F.posexplode("entries").alias("no", "entry")).select("uid", F.xxhash64("no", "entry").alias("bucket"))
+    members = reps.select("uid", F.explode("entries").alias("bucket"))
     several = common.written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     shared = common.written(members.join(several, "bucket"), "buckets")
     central = common.written(shared.groupBy("uid").agg(F.sum("n").alias("degree")), "degrees")

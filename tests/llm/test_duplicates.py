@@ -92,6 +92,35 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_short_near_copies_are_all_found(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for n in [*range(1, 21), 30, 43, 44, 45, 53, 54, 55]:
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            rows += [base, [*base, word()], [word(), *base], [*base[:-1], word()], [*base, *base[:1], word(), word()]]
+    rows += [["again"] * n for n in (9, 10, 14, 48, 55)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    words = [w for i, w in rows if i in (7 * 15, 7 * 15 + 1)]
+    assert [len(w.split()) for w in words] == [8, 9] and got[7 * 15 + 1] == got[7 * 15]
+
+
+def test_a_short_text_and_any_alike_text_share_an_entry():
+    r = np.random.default_rng(4)
+    for a in range(1, neardup.SHORT + 1):
+        for b in range(a, int(a / 0.8) + 1):
+            m = int(np.ceil(0.8 * (a + b) / 1.8 - 1e-9))
+            if m > a:
+                continue
+            for _ in range(5):
+                both = r.integers(1, 1 << 63, a + b - m, dtype=np.uint64)
+                x, y = both[:a], np.concatenate([both[:m], both[a:]])
+                assert neardup.similarity(x, y) > 0 and np.intersect1d(neardup.entries_of(x), neardup.entries_of(y)).size
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing, odd_rows):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
