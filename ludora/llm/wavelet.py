@@ -7,7 +7,8 @@ of a Parquet table (part, seq, n_docs, n_tokens, payload); a payload is a whole
 
 Rows are dealt by ranges of doc_id, sorted in each range and encoded there; a shard closes at the first
 document end after ``SHARD_TOKENS`` ids, so its size follows the longest document at most.
-Null or empty texts: the end id only. Repeated doc_ids: a run of rows each, ordered by text. Empty
+Null or empty texts: the end id only. Null doc_ids come after all others, dealt by a hash of the text; a bitmap
+in the file tells which they are. Ids that ``levels`` bits can't hold are an error. Repeated doc_ids: a run of rows each, ordered by text. Empty
 tables: no shard. Columns besides doc_id and text are not read.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -30,12 +32,15 @@ BLOCK_BITS = 1 << 16
 EOS = 2
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int) -> bytes:
-    """File image: header, documents, then for each plane its zeros, block ends, ones before each block, blocks."""
+def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int, valid: np.ndarray | None = None) -> bytes:
+    """File image: header, documents (ids, lengths, which ids aren't null), then for each plane its zeros, block ends, ones before each block, blocks."""
     import zstandard
 
+    if len(ids) and int(ids.max()) >> levels:
+        raise ValueError(f"id {int(ids.max())} needs more than {levels} levels")
     z = zstandard.ZstdCompressor(level=1)
-    docs = z.compress(np.diff(doc_ids, prepend=0).astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
+    there = np.packbits(np.ones(len(doc_ids), bool) if valid is None else valid, bitorder="little")
+    docs = z.compress(np.diff(doc_ids, prepend=0).astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + there.tobytes())
     out = [MAGIC, struct.pack("<QQHI", len(ids), len(doc_ids), levels, len(docs)), docs]
     seq = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in reversed(range(levels)):
@@ -62,8 +67,10 @@ class Shard:
         self.unpack = zstandard.ZstdDecompressor().decompress
         self.n, self.n_docs, self.levels, size = struct.unpack_from("<QQHI", image, 4)
         at = 4 + struct.calcsize("<QQHI")
-        both = np.frombuffer(self.unpack(image[at : at + size]), "<i8")
+        raw = self.unpack(image[at : at + size])
+        both = np.frombuffer(raw, "<i8", 2 * self.n_docs)
         self.doc_ids, self.lengths = np.cumsum(both[: self.n_docs]), both[self.n_docs :]
+        self.valid = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 * self.n_docs), bitorder="little")[: self.n_docs].astype(bool)
         self.image, at, k = image, at + size, -(-self.n // BLOCK_BITS)
         self.planes = []
         for _ in range(self.levels):
@@ -155,12 +162,13 @@ def encode_shards(docs: DataFrame, tokenizer: str, eos: int = EOS, shard_tokens:
         ids: list[np.ndarray] = []
         docs_: list[np.ndarray] = []
         lens: list[np.ndarray] = []
+        there: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
             n = sum(map(len, ids))
-            image = build(np.concatenate(ids), np.concatenate(docs_), np.concatenate(lens), levels)
+            image = build(np.concatenate(ids), np.concatenate(docs_), np.concatenate(lens), levels, np.concatenate(there))
             row = pa.record_batch({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([sum(map(len, docs_))], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "payload": pa.array([image], pa.binary())})
-            ids.clear(), docs_.clear(), lens.clear()
+            ids.clear(), docs_.clear(), lens.clear(), there.clear()
             return row
 
         held = 0
@@ -168,13 +176,16 @@ def encode_shards(docs: DataFrame, tokenizer: str, eos: int = EOS, shard_tokens:
             flat, counts = enc.ids(common.column(b, "text"))
             ends = np.cumsum(counts)
             flat, counts = np.insert(flat, ends, eos), counts + 1
-            ends, doc_ids, at = np.cumsum(counts), common.column(b, "doc_id").to_numpy(zero_copy_only=False), 0
+            given = common.column(b, "doc_id")
+            doc_ids, valid = pc.fill_null(given, 0).to_numpy(zero_copy_only=False), given.is_valid().to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(counts), 0
             while at < len(counts):
                 done = int(ends[at - 1]) if at else 0
                 to = min(len(counts), int(np.searchsorted(ends, done + shard_tokens - held, side="left")) + 1)
                 ids.append(flat[done : ends[to - 1]])
                 docs_.append(doc_ids[at:to])
                 lens.append(counts[at:to])
+                there.append(valid[at:to])
                 held += int(ends[to - 1]) - done
                 at = to
                 if held >= shard_tokens:
@@ -183,8 +194,9 @@ def encode_shards(docs: DataFrame, tokenizer: str, eos: int = EOS, shard_tokens:
         if ids:
             yield close()
 
-    rows = docs.select("doc_id", common.text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", common.text_or_empty().alias("text"))
+    by_id = F.col("doc_id").asc_nulls_last()
+    dealt = rows.repartitionByRange(by_id, F.xxhash64("text")).sortWithinPartitions(by_id, "text")
     return common.map_arrow(dealt, build_part, "part int, seq int, n_docs long, n_tokens long, payload binary")
 
 
@@ -219,7 +231,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 starts = ends - shard.lengths
                 crcs = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = shard.n_docs
-                yield pa.record_batch({"doc_id": pa.array(shard.doc_ids, pa.int64()), "part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(shard.lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.record_batch({"doc_id": pa.array(shard.doc_ids, pa.int64(), mask=~shard.valid), "part": pa.array([part] * n, pa.int32()), "seq": pa.array([seq] * n, pa.int32()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(shard.lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
     rows = common.map_arrow(shards.select("part", "seq", "payload"), decode, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
     return rows.join(shard_starts(shards), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -71,6 +71,24 @@ def test_wavelet_of_odd_rows(odd, nothing, odd_rows):
     assert wavelet.read_documents(wavelet.write_shards(nothing, path)).count() == 0
 
 
+def test_wavelet_keeps_rows_without_an_id(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i if i % 3 else None, None if i % 10 == 9 else f"text {i} of some words" * (i % 4)) for i in range(60)] + [(-5, "below"), (None, None)]
+    ids = [np.array([*x, 2], "<u4") for x in library("byte_bpe_50k.json", [t or "" for _, t in rows])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = wavelet.read_documents(wavelet.write_shards(docs, path, shard_tokens=64)).collect()
+    key = lambda i, n, crc: (i is None, i or 0, n, crc)
+    assert sorted(key(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(key(i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids, strict=True))
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert [r["doc_id"] for r in got] == sorted([r["doc_id"] for r in got], key=lambda i: (i is None, i or 0))
+
+
+def test_wavelet_refuses_ids_beyond_its_levels():
+    with pytest.raises(ValueError):
+        wavelet.build(np.array([1, 1 << 16], np.int32), np.array([1]), np.array([2]), 16)
+
+
 def check_packed(rows, docs, length):
     where, sequences = {}, {}
     for r in rows:
