@@ -118,6 +118,21 @@ def q4_english_negative(spark, sf_dir):
     return rel.filter_threshold(rel.named_negative_counts(english), "negative_reviews", LEAST_ENGLISH).select(*KEYS, "name")
 
 
+#: Text reviews over all games of both clients, more for games of small keys.
+SPREAD_REVIEWS = """
+select cast(1 + doc_id % 2 as int) as client_id, cast(cast(floor(n * r * r * r) as bigint) as string) as app_id, doc_id, review_text, review_score
+from (select t.*, n, cast(((doc_id % n) * 7919) % n as double) / n as r from {text_reviews} t cross join (select max(p_partkey) + 1 as n from {part}) k) s
+"""
+LEAST_SPREAD = 2
+
+
+@query(f", spread as ({SPREAD_REVIEWS.format(text_reviews='text_reviews', part='part')}) select client_id, app_id, name from (select f.client_id, f.app_id, f.name from ({_language_sql(FOUR).replace('text_reviews', 'spread')}) t join flags f on t.client_id = f.client_id and cast(t.app_id as bigint) = f.app_id where f.is_action and t.review_score <> '1' and t.detected = 'en') group by all having count(*) >= {LEAST_SPREAD}")
+def q4_english_negative_games(spark, sf_dir):
+    """Q4 over the games table: action games with many English negative reviews."""
+    spread = spark.sql(SPREAD_REVIEWS, text_reviews=views.text_reviews(spark, sf_dir), part=views.table(spark, sf_dir, "part"))
+    return plans.q4(views.games(spark, sf_dir), spread, LEAST_SPREAD, detector=language.detect(F.col("review_text"), FOUR))
+
+
 @query("select client_id, app_id, name, negative_reviews from action_counts join cut using (client_id) where negative_reviews >= threshold")
 def q5_percentile_cut(spark, sf_dir):
     return plans.q5(views.games(spark, sf_dir), views.reviews(spark, sf_dir))

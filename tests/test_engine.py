@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from ludora.functions import language, parse, text
 from ludora.operators import clean, relational as rel, results, tenants
-from ludora.plans import queries as plans
-from ludora.sources import csv, results as files
+from ludora.plans import catalogue, queries as plans
+from ludora.sources import csv, results as files, views
 from ludora.streaming import jobs
 
 
@@ -12,6 +12,18 @@ def values(spark, rows, column):
     return [r[0] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(column(F.col("x"))).collect()]
 
 
+def test_english_negatives_of_the_games_table(spark, sf):
+    """Games of both clients are counted, the threshold keeps some of them, and all are action games."""
+    got = {(r["client_id"], r["app_id"]) for r in catalogue.QUERIES["q4_english_negative_games"](spark, sf).collect()}
+    action = {(r["client_id"], r["app_id"]) for r in clean.game_flags(clean.type_games(views.games(spark, sf))).where("is_action").collect()}
+    text_reviews = views.text_reviews(spark, sf)
+    spread = spark.sql(catalogue.SPREAD_REVIEWS, text_reviews=text_reviews, part=views.table(spark, sf, "part"))
+    assert spread.count() == text_reviews.count()
+    one = plans.q4(views.games(spark, sf), spread, 1, detector=language.detect(F.col("review_text"), catalogue.FOUR))
+    least_one = {(r["client_id"], r["app_id"]) for r in one.collect()}
+    assert {c for c, _ in least_one} == {1, 2} and got and got < least_one <= action
+
+
 def test_unsigned(spark):
     rows = ["", " 7", "+7", "-1", "4294967295", "4294967296", "1.0", "1e3", "007", None, "9" * 30, "7\n"]
     assert values(spark, rows, parse.uint32) == [None, None, None, None, 4294967295, None, None, None, 7, None, None, None]
