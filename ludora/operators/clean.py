@@ -62,9 +62,9 @@ def quarantine(rows: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(good), rows.where(~good)
 
 
-def clean_games(raw: DataFrame) -> DataFrame:
-    """The cleaning job's games: ten columns, none null, genres in lower case."""
-    return raw.select(*[F.col(f"`{c}`") for c in CLEAN_GAMES]).dropna(subset=CLEAN_GAMES).withColumn("Genres", F.lower("Genres"))
+def clean_games(raw: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The cleaning job's games: ``keys`` and ten columns, none of these null, genres in lower case."""
+    return raw.select(*keys, *[F.col(f"`{c}`") for c in CLEAN_GAMES]).dropna(subset=CLEAN_GAMES).withColumn("Genres", F.lower("Genres"))
 
 
 def clean_reviews(raw: DataFrame) -> DataFrame:

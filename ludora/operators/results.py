@@ -14,13 +14,13 @@ def sections(lines: DataFrame) -> DataFrame:
     return filled.where(F.col("header").isNull() & (F.col("line") != "") & F.col("query").isNotNull()).select("file", "query", "line")
 
 
-def sorted_lines(rows: DataFrame) -> DataFrame:
+def sorted_lines(rows: DataFrame, by: tuple[str, ...] = ("query",)) -> DataFrame:
     """Lines of each section in order."""
-    return rows.groupBy("query").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def query_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select("query").union(right.select("query")).distinct()
+def query_names(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = ("query",)) -> DataFrame:
+    return left.select(*columns).union(right.select(*columns)).distinct()
 
 
 def result_diff(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:

@@ -406,11 +406,19 @@ LINES = """, lines as (
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lines of client 1."""
-    games, reviews = views.games(spark, sf_dir).where("client_id = 1"), views.reviews(spark, sf_dir).where("client_id = 1")
-    put = lambda rows, n, line: rows.select(F.lit(1).alias("client_id"), F.lit(f"Query {n}").alias("query"), line.alias("line"))
+    return _lines_of(views.games(spark, sf_dir).where("client_id = 1"), views.reviews(spark, sf_dir).where("client_id = 1"))
+
+
+def _lines_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines of all clients."""
+    return _lines_of(views.games(spark, sf_dir), views.reviews(spark, sf_dir))
+
+
+def _lines_of(games: DataFrame, reviews: DataFrame) -> DataFrame:
+    put = lambda rows, n, line: rows.select("client_id", F.lit(f"Query {n}").alias("query"), line.alias("line"))
     c = F.col
     first = plans.q1(games)
-    first = first.select(F.explode(F.array(*[text.platform_line(p, c(p.lower())) for p in ("Linux", "Windows", "Mac")])).alias("line"))
+    first = first.select("client_id", F.explode(F.array(*[text.platform_line(p, c(p.lower())) for p in ("Linux", "Windows", "Mac")])).alias("line"))
     many = rel.filter_threshold(rel.named_negative_counts(plans.action_negatives(games, reviews)), "negative_reviews", 10)
     return (
         put(first, 1, c("line"))
@@ -460,10 +468,69 @@ def result_sorted(spark, sf_dir):
     return results.sorted_lines(_lines(spark, sf_dir)).select("query", F.array_join("lines", "\n").alias("lines"))
 
 
+# result texts of all clients
+LINES_BY_CLIENT = """, lines as (
+ select client_id, 'Query 1' as query, p || cast(n as varchar) as line from (select client_id, count_if(on_linux) as l, count_if(on_windows) as w, count_if(on_mac) as m from typed where os_ok group by client_id), lateral (values ('Linux: ', l), ('Windows: ', w), ('Mac: ', m)) v(p, n)
+ union all select client_id, 'Query 2', 'AppId: ' || app_id || ' ReleaseYear: ' || release_year || ' AvgPlaytimeForever: ' || avg_playtime from (select * from indie where release_year >= 2010 and release_year < 2020 qualify row_number() over (partition by client_id order by avg_playtime desc, app_id) <= 10)
+ union all select client_id, 'Query 3', 'AppID: ' || app_id || ', GameName: ' || name || ', PositiveReviews: ' || positive_reviews from (select client_id, app_id, name, positive_reviews from counts join indie_names using (client_id, app_id) qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5)
+ union all select client_id, 'Query 4', 'AppID: ' || app_id || ', GameName: ' || name from action_counts where negative_reviews >= 10
+ union all select client_id, 'Query 5', 'AppID: ' || app_id || ', GameName: ' || name || ', NegativeReviews: ' || negative_reviews from action_counts join cut using (client_id) where negative_reviews >= threshold)
+"""
+
+
+@query(LINES_BY_CLIENT + "select client_id, query, line from lines")
+def result_lines_by_client(spark, sf_dir):
+    return _lines_by_client(spark, sf_dir)
+
+
+@query(LINES_BY_CLIENT + "select client_id, query, line from lines")
+def result_sink_round_trip_by_client(spark, sf_dir):
+    path = work_path(spark, "client-results")
+    files.write_results(_lines_by_client(spark, sf_dir), path)
+    files.write_results(_lines_by_client(spark, sf_dir).where("query = 'Query 1' and client_id = 2"), path)  # replaces itself only
+    return files.read_results(spark, path).select(F.col("client_id").cast("int").alias("client_id"), "query", "line")
+
+
+@query(LINES_BY_CLIENT + "select client_id, query, line from lines")
+def result_sections_by_client(spark, sf_dir):
+    lines = _lines_by_client(spark, sf_dir)
+    body = lines.groupBy("client_id", "query").agg(F.concat_ws("\n", F.concat("query", F.lit(":")), F.concat_ws("\n\n", F.array_sort(F.collect_list("line")))).alias("value"))
+    path = work_path(spark, "client-texts")
+    body.select("client_id", "value").write.partitionBy("client_id").text(path)
+    client = F.regexp_extract("file", r"/client_id=(\d+)/", 1).cast("int")
+    return results.sections(files.read_texts(spark, path)).select(client.alias("client_id"), "query", "line")
+
+
+@query(LINES_BY_CLIENT + "select client_id, query, line, 'left' as side from lines where query <> 'Query 2' and ends_with(line, '7') union all select client_id, query, line || ' +', 'right' from lines where query <> 'Query 2' and ends_with(line, '7')")
+def result_diff_by_client(spark, sf_dir):
+    left = _lines_by_client(spark, sf_dir)
+    changed = F.when((F.col("query") != "Query 2") & F.col("line").endswith("7"), F.concat("line", F.lit(" +"))).otherwise(F.col("line"))
+    return results.result_diff(left.union(left), left.select("client_id", "query", changed.alias("line")), ["client_id", "query", "line"])
+
+
+@query(LINES_BY_CLIENT + "select distinct client_id, query from lines")
+def result_query_names_by_client(spark, sf_dir):
+    lines = _lines_by_client(spark, sf_dir)
+    return results.query_names(lines.where("query < 'Query 3'"), lines.where("query > 'Query 1'"), ("client_id", "query"))
+
+
+@query(LINES_BY_CLIENT + "select client_id, query, array_to_string(list_sort(list(distinct line)), '\n') as lines from lines group by client_id, query")
+def result_sorted_by_client(spark, sf_dir):
+    found = results.sorted_lines(_lines_by_client(spark, sf_dir), ("client_id", "query"))
+    return found.select("client_id", "query", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("select client_id, app_id, release_year, avg_playtime from indie qualify row_number() over (partition by client_id order by avg_playtime desc, app_id) <= 10")
+def topk_merged_by_client(spark, sf_dir):
+    rows, by = clean.indie_years(_games(spark, sf_dir)), ("client_id",)
+    early, late = rows.where("release_year < 2010"), rows.where("release_year >= 2010")
+    return rel.merge_top_k(rel.top_k(early, 10, "avg_playtime", by=by), late, 10, "avg_playtime", by=by)
+
+
 # files
-def _as_export(games: DataFrame) -> DataFrame:
+def _as_export(games: DataFrame, *keys: str) -> DataFrame:
     """Rows as the cleaned games file has them."""
-    return games.select("app_id", F.concat(F.lit('"'), "name", F.lit('", the game')).alias("name"), "windows", "mac", "linux", "genres", "release_date", "avg_playtime", F.lit("1").alias("positive"), F.lit("0").alias("negative"))
+    return games.select(*keys, "app_id", F.concat(F.lit('"'), "name", F.lit('", the game')).alias("name"), "windows", "mac", "linux", "genres", "release_date", "avg_playtime", F.lit("1").alias("positive"), F.lit("0").alias("negative"))
 
 
 @query("""select app_id, '"' || name || '", the game' as name, genres, release_date from games where client_id = 1""")
@@ -474,6 +541,16 @@ def games_csv_round_trip(spark, sf_dir):
     return good.select("app_id", "name", "genres", "release_date")
 
 
+@query("""select client_id, app_id, '"' || name || '", the game' as name, genres, release_date from games""")
+def games_csv_round_trip_by_client(spark, sf_dir):
+    """A folder for each client."""
+    path = work_path(spark, "client-games-csv")
+    games = views.games(spark, sf_dir)
+    csv.write_clean(_as_export(games, "client_id"), path, by=("client_id",))
+    good, _ = clean.quarantine(csv.read_games(spark, path), csv.usable(["app_id", "name", "genres", "avg_playtime"]))
+    return good.select(F.col("client_id").cast("int").alias("client_id"), "app_id", "name", "genres", "release_date")
+
+
 @query("select app_id, coalesce(replace(review_text, chr(10), ' '), '') as review_text, review_score from text_reviews where coalesce(review_text, '') <> ''")
 def reviews_csv_round_trip(spark, sf_dir):
     path = work_path(spark, "reviews-csv")
@@ -486,12 +563,22 @@ def reviews_csv_round_trip(spark, sf_dir):
 def clean_export(spark, sf_dir):
     """The cleaning job: a raw export with gaps, read by position, written clean and read again."""
     names = dict(zip(CLEAN_GAMES, ["app_id", "name", "windows", "mac", "linux", "genres", "release_date", "avg_playtime", None, None], strict=True))
-    rows = views.games(spark, sf_dir).where("client_id = 1")
+    return _clean_export(spark, views.games(spark, sf_dir).where("client_id = 1"), names)
+
+
+@query("""select client_id, app_id as "AppID", name as "Name", windows as "Windows", mac as "Mac", linux as "Linux", lower(genres) as "Genres", release_date as "Release date", avg_playtime as "Average playtime forever", '1' as "Positive", '0' as "Negative" from games where src_key % 7 <> 0""")
+def clean_export_by_client(spark, sf_dir):
+    """The cleaning job over all clients, a folder for each."""
+    names = dict(zip(CLEAN_GAMES, ["app_id", "name", "windows", "mac", "linux", "genres", "release_date", "avg_playtime", None, None], strict=True))
+    return _clean_export(spark, views.games(spark, sf_dir), names, "client_id")
+
+
+def _clean_export(spark: SparkSession, rows: DataFrame, names: dict[str, str | None], *keys: str) -> DataFrame:
     given = {"Positive": F.lit("1"), "Negative": F.lit("0"), "Genres": F.when(F.col("src_key") % 7 != 0, F.upper("genres"))}
     wide = [given.get(c, F.col(names[c]) if names.get(c) else F.lit(None).cast("string")).alias(f"c{i}") for i, c in enumerate(csv.RAW_GAMES.names)]
     raw, out = work_path(spark, "raw-export"), work_path(spark, "clean-export")
-    csv.write_clean(rows.select(*wide), raw)
-    csv.write_clean(clean.clean_games(csv.read_raw_games(spark, raw)), out, "parquet")
+    csv.write_clean(rows.select(*keys, *wide), raw, by=keys)
+    csv.write_clean(clean.clean_games(csv.read_raw_games(spark, raw), keys), out, "parquet", keys)
     return spark.read.parquet(out)
 
 

@@ -43,6 +43,7 @@ def read_raw_games(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark, RAW_GAMES, "DROPMALFORMED").csv(path)
 
 
-def write_clean(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    writer = rows.write.mode("overwrite")
+def write_clean(rows: DataFrame, path: str, kind: str = "csv", by: tuple[str, ...] = ()) -> None:
+    """``by``: columns that are folders, not part of the lines."""
+    writer = rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")
     writer.option("header", True).option("quote", '"').option("escape", '"').csv(path) if kind == "csv" else writer.format(kind).save(path)

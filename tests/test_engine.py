@@ -24,6 +24,12 @@ def test_english_negatives_of_the_games_table(spark, sf):
     assert {c for c, _ in least_one} == {1, 2} and got and got < least_one <= action
 
 
+@pytest.mark.parametrize("name", "result_lines result_sink_round_trip result_sections result_diff result_query_names result_sorted games_csv_round_trip clean_export topk_merged".split())
+def test_results_of_all_clients(spark, sf, name):
+    got = catalogue.QUERIES[f"{name}_by_client"](spark, sf).select("client_id").distinct().collect()
+    assert {r["client_id"] for r in got} == {1, 2}
+
+
 def test_unsigned(spark):
     rows = ["", " 7", "+7", "-1", "4294967295", "4294967296", "1.0", "1e3", "007", None, "9" * 30, "7\n"]
     assert values(spark, rows, parse.uint32) == [None, None, None, None, 4294967295, None, None, None, 7, None, None, None]
