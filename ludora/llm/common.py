@@ -12,9 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text handed to Python at once; a batch above it is worked off in slices.
-SLICE_BYTES = 24 << 20
-#: Column that numbers the rows of a table while a stage decides on them.
-ROW = "ludora_row_number"
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,20 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one in the warehouse, which a cluster's executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ludora-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ludora-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch().written(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that an operator needs no more once its result is written; ``clear`` empties them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/ludora-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.spark = spark
+        return spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            self.spark.range(0, numPartitions=1).write.mode("overwrite").parquet(path)
+        self.paths.clear()
+
+
+def row_key() -> list[Column]:
+    """128 bits of a row's doc_id and text, by which ``these_rows`` finds it again."""
+    return [F.xxhash64(F.lit(k), F.col("doc_id"), text_or_empty()).alias(f"key{k}") for k in range(2)]
+
+
+def these_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with these keys, all their columns; of rows of one doc_id and text, one. ``keys`` are distinct."""
+    whole = docs.select(F.struct("*").alias("row"), *row_key())  # the only columns here, whatever theirs are called
+    # joined by a sort at every size, so that the duplicates are already side by side
+    kept = whole.join(keys.select("key0", "key1").hint("merge"), ["key0", "key1"], "left_semi")
+    return kept.dropDuplicates(["key0", "key1"]).select("row.*")
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
     import numpy as np
     import pyarrow.compute as pc
 
+    free = pa.default_memory_pool().release_unused
     for b in batches:
         if not b.num_rows:
             continue
@@ -78,6 +107,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             done = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield b.slice(at, to - at)
+            free()  # workers are used again: what one slice took is not held for the next operator
             at = to
 
 
@@ -85,6 +115,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def values(a: pa.Array) -> list:
+    """Python values of strings or binaries; by way of numpy, which takes a fifth of to_pylist's time."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -12,7 +12,8 @@ row its group has one row for a group on the other side, so that Spark can split
 
 The row with the most code points in its original text stays, then the smallest doc_id, then the first
 row read. Null texts count as empty. Null doc_ids come after all others. Repeated rows: one of them
-stays. Empty tables: no rows. Columns besides doc_id and text are not read.
+stays. Empty tables: no rows. Columns besides doc_id and text are not read; ``keep_distinct`` passes them on,
+whatever their names, and of rows equal in doc_id and text it keeps any one.
 """
 
 from __future__ import annotations
@@ -127,13 +128,13 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
 
 
-def add_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """Groups of a snapshot and of a new batch together. Both: key, rank, n; the snapshot's keys are distinct."""
+def add_batch(snapshot: DataFrame, batch: DataFrame, work: common.Scratch) -> DataFrame:
+    """Groups of a snapshot and of a new batch together. Both: key, rank, n; the snapshot's keys are distinct. Read the result before clearing ``work``."""
     n = snapshot.count()
     buckets = max(1, -(-n // BUCKET))
-    filters = common.written(build_filters(snapshot, buckets), "filters")
-    new = common.written(groups(batch), "batch")
-    tested = common.written(new.join(screen(new, filters, buckets), "key"), "screened")
+    filters = work.written(build_filters(snapshot, buckets), "filters")
+    new = work.written(groups(batch), "batch")
+    tested = work.written(new.join(screen(new, filters, buckets), "key"), "screened")
     known = groups(snapshot.unionByName(tested.where("maybe").drop("maybe")))
     return known.unionByName(tested.where("not maybe").drop("maybe"))
 
@@ -144,39 +145,39 @@ def digest_of(norm: Column, bits: int) -> Column:
 
 def deduplicate(docs: DataFrame, bits: int = 256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. ``bits`` of the digest are used (fewer in tests only)."""
-    return decide(docs, F.monotonically_increasing_id(), bits).drop("uid")
+    return decide(docs, bits).drop("uid", "key0", "key1")
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = common.written(docs.withColumn(common.ROW, F.monotonically_increasing_id()), "numbered")
-    stay = decide(numbered, F.col(common.ROW)).where("kept").select(F.col("uid").alias(common.ROW))
-    return numbered.join(stay, common.ROW, "left_semi").drop(common.ROW)
+    return common.these_rows(docs, decide(docs).where("kept"))
 
 
-def decide(docs: DataFrame, uid: Column, bits: int = 256) -> DataFrame:
-    """uid, doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def decide(docs: DataFrame, bits: int = 256) -> DataFrame:
+    """uid, doc_id, keep_id, group_size, kept, text_sha256 and the row's key of every row."""
+    work = common.Scratch()
     text = common.text_or_empty()
-    source = docs.select(uid.alias("uid"), F.col("doc_id").cast("long"), F.translate(text, SPACES, "").alias("norm"), F.char_length(text).alias("chars"))
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.translate(text, SPACES, "").alias("norm"), F.char_length(text).alias("chars"), *common.row_key())
     key = digest_of(F.col("norm"), bits)
-    columns = ["uid", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha")]
+    columns = ["uid", "doc_id", "chars", F.unhex(F.sha2("norm", 256)).alias("sha"), "key0", "key1"]
     rows = common.written(source.select(*columns, key.alias("key")), "digests")
-    result = common.written(grouped(rows), "groups")
+    result = common.written(grouped(rows, work), "groups")
     texts = source.select(key.alias("key"), "norm").distinct()  # copies meet in their own tasks first: a hot group sends one text from each
-    clash = common.written(texts.groupBy("key").count().where("count > 1").select("key"), "clashes")
+    clash = work.written(texts.groupBy("key").count().where("count > 1").select("key"), "clashes")
     if not clash.isEmpty():  # different texts under one digest: the text becomes the key
         split = source.withColumn("key", key).join(clash.withColumn("clash", F.lit(True)), "key", "left")
         rows = common.written(split.select(*columns, F.when(F.col("clash"), F.concat("key", F.col("norm").cast("binary"))).otherwise(F.col("key")).alias("key")), "digests")
-        result = common.written(grouped(rows), "groups")
+        result = common.written(grouped(rows, work), "groups")
+    work.clear()
     keep = result.select("key", F.col("rank.doc").alias("keep"), F.col("rank.uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    return rows.join(keep, "key").select("uid", "doc_id", (-F.col("keep")).alias("keep_id"), "group_size", (F.col("uid") == -F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return rows.join(keep, "key").select("uid", "doc_id", (-F.col("keep")).alias("keep_id"), "group_size", (F.col("uid") == -F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "key0", "key1")
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, work: common.Scratch) -> DataFrame:
     """Groups of all rows: one half is the snapshot, the other arrives as a batch."""
     ranked = rows.select("key", F.struct("chars", (-F.col("doc_id")).alias("doc"), (-F.col("uid")).alias("uid")).alias("rank"), F.lit(1).cast("long").alias("n"), (F.pmod(F.xxhash64("uid"), F.lit(2)) == 0).alias("old"))
-    snapshot = common.written(groups(ranked.where("old").drop("old")), "snapshot")
-    return add_batch(snapshot, ranked.where("not old").drop("old"))
+    snapshot = work.written(groups(ranked.where("old").drop("old")), "snapshot")
+    return add_batch(snapshot, ranked.where("not old").drop("old"), work)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

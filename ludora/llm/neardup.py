@@ -20,12 +20,14 @@ What remains are links between a text x that its pivot p isn't linked with and a
 same pivot. With D the k-mers that one of x and p has alone, similarity s means that x and y differ in
 at most r (|x| + |y|) k-mers, r = (1 - s) / (1 + s), while they differ in at least
 |D| + |y| - |p| - 2c, c being the k-mers that both have and p lacks. So either c is at least
-(|D| + |y| - |p| - r (|x| + |y|)) / 2, and x and y meet under such a k-mer (a prefix of x's, in order of
-hash, is enough); or y is so short that this is not above 0, which is a join on the pivot and the length.
-Meetings are kept only if the texts can be alike by length and by parity: each k-mer flips one of ``PARITY``
-bits of its text's mask, so masks differ in no more bits than texts in k-mers. All of this is exact: no
-link between texts of different classes that share a bucket is lost, and dense groups around a text
-never expand to pairs.
+(|D| + |y| - |p| - r (|x| + |y|)) / 2, or y is so short that this is not above 0. In the first case x has to
+share that many of its k-mers with others of the pivot at all, which most don't, and else meets y under one of the
+rarest of them (a prefix of its shared k-mers, in order of their number among the pivot's texts). In the
+second they meet under their length. What meets is a bucket again: its texts are verified against one of
+their own first, so that dense groups join into classes; then pairs of different classes that meet are verified, if they
+can be alike by their lengths, by the k-mers that one has and the pivot lacks and the other way round, and by parity:
+each k-mer flips one of ``PARITY`` bits of its text's mask, so masks differ in no more bits than texts in
+k-mers. All of this is exact: no link between texts of different classes that share a bucket is lost.
 
 All texts get a row: doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of
 each class). Null or empty texts and those without words are classes of their own, as nothing in
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +68,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = cut.offsets.to_numpy()
     coded = cut.flatten().dictionary_encode()
     plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„…")
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in plain.to_pylist()), np.uint64, len(plain))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in common.values(plain)), np.uint64, len(plain))
     all_ = hashes[coded.indices.to_numpy()] if len(hashes) else np.zeros(0, np.uint64)
     real = all_ != 0
     before = np.concatenate([[0], np.cumsum(real)])
@@ -167,8 +169,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return s if s >= least else 0.0
 
 
-def sketched(docs: DataFrame, uid: Column, least: float) -> DataFrame:
-    """uid, doc_id, digest (of the words), words (hashes) and entries of every document; entries are null without words."""
+def sketched(docs: DataFrame, least: float) -> DataFrame:
+    """uid, doc_id, the row's key, digest (of the words), words (hashes) and entries of every document; entries are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, limit=8 << 20):
@@ -184,19 +186,16 @@ def sketched(docs: DataFrame, uid: Column, least: float) -> DataFrame:
             sizes = np.array([0 if e is None else len(e) for e in entries])
             flat = np.concatenate([e for e in entries if e is not None]) if sizes.any() else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()), mask=pa.array(sizes == 0))
-            yield pa.record_batch({"uid": common.column(b, "uid"), "doc_id": common.column(b, "doc_id"), "digest": pa.array(digests, pa.binary()), "words": pa.array(raws, pa.binary()), "entries": lists})
+            yield pa.record_batch({**{c: common.column(b, c) for c in ("uid", "doc_id", "key0", "key1")}, "digest": pa.array(digests, pa.binary()), "words": pa.array(raws, pa.binary()), "entries": lists})
 
-    rows = docs.select(uid.alias("uid"), F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    return common.map_arrow(rows, run, "uid long, doc_id long, digest binary, words binary, entries array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), *common.row_key(), common.text_or_empty().alias("text"))
+    return common.map_arrow(rows, run, "uid long, doc_id long, key0 long, key1 long, digest binary, words binary, entries array<long>")
 
 
 def in_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the words of both texts. ``texts``: uid, words."""
-    asked = common.written(pairs.select("a", "b").distinct(), "pairs")
-    ids = asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    needed = common.written(texts.join(ids, "uid", "left_semi"), "pair-texts")
-    left = asked.join(needed.select(F.col("uid").alias("a"), F.col("words").alias("words_a")), "a")
-    return left.join(needed.select(F.col("uid").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
+    """``pairs`` (a, b) with the words of both texts. ``texts``: uid, words. Joined by sorting at every size: a hot side can be split."""
+    left = pairs.select("a", "b").distinct().hint("merge").join(texts.select(F.col("uid").alias("a"), F.col("words").alias("words_a")), "a")
+    return left.hint("merge").join(texts.select(F.col("uid").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
 
 
 def each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
@@ -222,7 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             keep = pa.array([similarity(x, y, least) > 0 for x, y in both], pa.bool_())
             yield pa.record_batch({"a": common.column(batch, "a").filter(keep), "b": common.column(batch, "b").filter(keep)})
 
-    return common.written(common.map_arrow(in_pairs(pairs, texts), run, "a long, b long"), "links")
+    return common.map_arrow(in_pairs(pairs, texts), run, "a long, b long")
 
 
 def parity(mers: np.ndarray) -> np.ndarray:
@@ -231,107 +230,157 @@ def parity(mers: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def against_pivot(pivot: np.ndarray, text: np.ndarray, least: float) -> tuple[bool, np.ndarray, int, int, np.ndarray]:
-    """Whether the two are linked; the text's mask and length; up to which length others must be compared with it; k-mers under which it meets others."""
+#: Of a star: pivot a, text b; are they linked; k-mers of b, those the pivot lacks, those b lacks; how many it must share with others; up to which length others may share none.
+STAR = "a long, b long, linked boolean, length int, own_n int, lack_n int, needed int, upto int, own array<long>, " + ", ".join(f"m{j} long" for j in range(MASKS))
+
+
+def against_pivot(pivot: np.ndarray, text: np.ndarray, least: float) -> tuple[bool, int, int, int, int, int, np.ndarray, np.ndarray]:
+    """linked ... own as in STAR, and the text's mask."""
     r = (1 - least) / (1 + least)
     p, x = labelled(pivot), labelled(text)
-    own = np.setdiff1d(x, p)  # in order of hash
-    linked = similarity(pivot, text, least) > 0
-    if linked:
-        return True, parity(x), len(x), 0, own
-    apart = len(own) + len(p) - (len(x) - len(own))
+    own = np.setdiff1d(x, p)
+    lack = len(p) - (len(x) - len(own))
+    if similarity(pivot, text, least) > 0:
+        return True, len(x), len(own), lack, 1, 0, own, parity(x)
+    apart = len(own) + lack
     shortest = int(np.ceil(least * len(x) - 1e-9))
     needed = max(1, int(np.ceil((apart + shortest - len(p) - r * (len(x) + shortest)) / 2 - 1e-9)))
     upto = int(np.floor((len(p) + r * len(x) - apart) / (1 - r) + 1e-9))
-    return False, parity(x), len(x), upto if upto >= shortest else 0, own[: max(0, len(own) - needed + 1)]
+    return False, len(x), len(own), lack, needed, upto if upto >= shortest else 0, own, parity(x)
 
 
 def compared(stars: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs of pivot a and text b with linked, length, upto and meets (hashes of k-mers)."""
+    """Pairs of pivot a and text b as in STAR."""
+    names = [f.split()[0] for f in STAR.split(", ")]
+    types = {"boolean": pa.bool_(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "long": pa.int64()}
+    kinds = [types[f.split()[1]] for f in STAR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, both in each_pair(batches):
-            found = [against_pivot(x, y, least) for x, y in both]
-            meets = [(m >> np.uint64(32)).astype(np.uint32).view(np.int32) for *_, m in found]
-            yield pa.record_batch({
-                "a": common.column(batch, "a"), "b": common.column(batch, "b"), "linked": pa.array([f[0] for f in found], pa.bool_()), "length": pa.array([f[2] for f in found], pa.int32()),
-                "upto": pa.array([f[3] for f in found], pa.int32()), "meets": pa.array(meets, pa.list_(pa.int32())), **{f"m{j}": pa.array([f[1][j] for f in found], pa.int64()) for j in range(MASKS)},
-            })
+            found = [(*f[:6], f[6].view(np.int64), *f[7].tolist()) for f in (against_pivot(x, y, least) for x, y in both)]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds[2:])]
+            yield pa.RecordBatch.from_arrays([common.column(batch, "a"), common.column(batch, "b"), *columns], names=names)
+
+    return common.map_arrow(in_pairs(stars, texts), run, STAR)
+
 
-    return common.written(common.map_arrow(in_pairs(stars, texts), run, "a long, b long, linked boolean, length int, upto int, meets array<int>, " + ", ".join(f"m{j} long" for j in range(MASKS))), "stars")
+MEASURES = ["length", "own_n", "lack_n", "shared_n", *[f"m{j}" for j in range(MASKS)]]
 
 
-def left_over(stars: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts of one pivot and different classes that can still be alike."""
+def can_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], least: float) -> Column:
+    """Whether two texts of one pivot can be alike by what is known of each."""
+    most = (1 - least) / (1 + least) * (x("length") + y("length")) + 1e-6
+    masks = sum((F.bit_count(x(f"m{j}").bitwiseXOR(y(f"m{j}"))) for j in range(MASKS)), F.lit(0))
+    alone = x("own_n") + x("lack_n") + y("own_n") + y("lack_n")
+    both = F.least(x("shared_n"), y("shared_n"), x("own_n"), y("own_n")) + F.least(x("lack_n"), y("lack_n"))
+    return (F.least(x("length"), y("length")) >= least * F.greatest(x("length"), y("length")) - 1e-6) & (alone - 2 * both <= most) & (masks <= most)
+
+
+def meetings(stars: DataFrame, work: common.Scratch, least: float) -> DataFrame:
+    """(bucket, uid, linked, upto, MEASURES) of the texts of a pivot that can still have links between them. Texts of one ``bucket`` meet."""
     open_ = stars.where("not linked").select("a").distinct()
-    placed = stars.join(open_, "a", "left_semi").join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    sizes = ["linked", "length", *[f"m{j}" for j in range(MASKS)]]
-    placed = common.written(placed.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "root", "upto", "meets", *sizes), "open-stars")
-    apart = placed.where("not linked")
-    of_other = lambda df: df.select([F.col(c).alias(c if c in ("pivot", "mer") else f"other_{c}") for c in df.columns])
-    keyed = lambda df: df.select("pivot", "uid", "root", *sizes, F.explode("meets").alias("mer"))
-    differ = sum((F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"other_m{j}"))) for j in range(MASKS)), F.lit(0))
-    both = F.col("length") + F.col("other_length")
-    alike = (differ <= (1 - least) / (1 + least) * both + 1e-6) & (F.least("length", "other_length") >= least * F.greatest("length", "other_length") - 1e-6)
-    new = (F.col("root") != F.col("other_root")) & (F.col("other_linked") | (F.col("uid") < F.col("other_uid"))) & alike
-    met = keyed(apart).join(of_other(keyed(placed)), ["pivot", "mer"]).where(new)
-    each = F.col("root") != F.col("other_root")  # here both orders count: only one of the two may be short
-    short = apart.where("upto > 0").drop("meets").join(of_other(placed.select("pivot", "uid", "root", *sizes)), "pivot").where(each & alike & (F.col("other_length") <= F.col("upto")))
-    pairs = met.select("uid", "other_uid").union(short.select("uid", "other_uid"))
+    placed = stars.join(open_, "a", "left_semi").withColumnRenamed("a", "pivot").withColumnRenamed("b", "uid")
+    mers = placed.select("pivot", "uid", F.explode("own").alias("mer"))
+    often = work.written(mers.groupBy("pivot", "mer").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = mers.join(often, ["pivot", "mer"]).groupBy("pivot", "uid").agg(F.array_sort(F.collect_list(F.struct("n", "mer"))).alias("shared"))  # of one text's k-mers
+    known = placed.drop("own").join(shared, ["pivot", "uid"], "left").withColumn("shared_n", F.coalesce(F.size("shared"), F.lit(0)))
+    under = F.when(F.col("linked"), F.col("shared")).otherwise(F.slice("shared", F.lit(1), F.greatest(F.col("shared_n") - F.col("needed") + 1, F.lit(0))))
+    facts = ["uid", "linked", "upto", *MEASURES]
+    by_mer = known.where("shared_n >= needed").select(*facts, "pivot", F.explode(under).alias("met")).select(F.xxhash64(F.lit(1), "pivot", "met.mer").alias("bucket"), *facts)
+    # lengths in steps of the ratio that alike texts may have: x asks in its own and the one below and above
+    step = F.floor(F.log("length") / F.lit(float(-np.log(least)))).cast("int")
+    asks = F.when(~F.col("linked") & (F.col("upto") > 0), F.array(step - 1, step, step + 1)).otherwise(F.array(step))
+    short_pivots = placed.where("not linked and upto > 0").select("pivot").distinct()
+    by_length = known.join(short_pivots, "pivot", "left_semi").select(*facts, "pivot", F.explode(asks).alias("step")).select(F.xxhash64(F.lit(2), "pivot", "step").alias("bucket"), *facts)
+    return work.written(by_mer.withColumn("short", F.lit(False)).union(by_length.withColumn("short", F.lit(True))), "meetings")
+
+
+def with_roots(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Meetings with the class of each text, of buckets that hold several classes."""
+    placed = met.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(several, "bucket", "left_semi")
+
+
+def pairs_with_central(met: DataFrame, work: common.Scratch, least: float) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central text and the others that can be like it."""
+    met = work.written(met, "met")
+    counts = met.groupBy("bucket").agg(F.count("*").alias("n"))
+    central = met.join(counts, "bucket").groupBy("uid").agg(F.sum("n").alias("degree"))
+    top = met.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("uid")).alias("other"), F.col("root").alias("other_root"), *[F.col(c).alias(f"other_{c}") for c in MEASURES])).alias("top"))
+    both = met.join(top.select("bucket", "top.*").drop("degree"), "bucket").withColumn("other", -F.col("other")).where("root <> other_root")
+    return both.where(can_be_alike(F.col, lambda c: F.col(f"other_{c}"), least)).select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
+
+
+def pairs_that_meet(met: DataFrame, work: common.Scratch, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that meet and can be alike. One of the two isn't linked with the pivot."""
+    met = work.written(met, "met")
+    asking = met.where("not linked and (not short or upto > 0)")
+    other = met.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("uid", "root", "linked", "upto", *MEASURES)])
+    of_other = lambda c: F.col(f"other_{c}")
+    once = F.when(F.col("short"), F.col("other_length") <= F.col("upto")).otherwise(F.col("other_linked") | (F.col("uid") < F.col("other_uid")))
+    pairs = asking.join(other, "bucket").where((F.col("root") != F.col("other_root")) & once & can_be_alike(F.col, of_other, least))
     return pairs.select(F.least("uid", "other_uid").alias("a"), F.greatest("uid", "other_uid").alias("b")).distinct()
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def components(links: DataFrame, work: common.Scratch) -> DataFrame:
     """(uid, root) of all ends of ``links`` (a, b): the smallest uid that is reached. Labels and the labels of labels, until none changes."""
-    both = common.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
-    labels = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("uid"), F.least("a", "m").alias("root")), "roots")
-    for _ in range(limit):
+    both = work.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
+    labels = work.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("uid"), F.least("a", "m").alias("root")), "roots")
+    while True:
         near = both.join(labels.select(F.col("uid").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near.withColumnRenamed("a", "uid"), "uid").select("uid", F.col("root").alias("old"), F.least("root", "m").alias("low"))
         jump = labels.select(F.col("uid").alias("low"), F.col("root").alias("far"))
-        step = common.written(lower.join(jump, "low", "left").select("uid", F.least("low", F.coalesce("far", "low")).alias("root"), "old"), "roots")
+        step = work.written(lower.join(jump, "low", "left").select("uid", F.least("low", F.coalesce("far", "low")).alias("root"), "old"), "roots")
         labels = step.select("uid", "root")
         if step.where("root != old").isEmpty():
             return labels
-    raise RuntimeError("classes did not settle")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size, kept of every document."""
-    return decide(docs, F.monotonically_increasing_id(), least).drop("uid")
+    return decide(docs, least).drop("uid", "key0", "key1")
 
 
 def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """A row of each class, with all its columns."""
-    numbered = common.written(docs.withColumn(common.ROW, F.monotonically_increasing_id()), "numbered")
-    stay = decide(numbered, F.col(common.ROW), least).where("kept").select(F.col("uid").alias(common.ROW))
-    return numbered.join(stay, common.ROW, "left_semi").drop(common.ROW)
+    return common.these_rows(docs, decide(docs, least).where("kept"))
 
 
-def decide(docs: DataFrame, uid: Column, least: float = SIMILARITY) -> DataFrame:
-    """uid, doc_id, class_id, class_size, kept of every document."""
-    rows = common.written(sketched(docs, uid, least), "sketches")
-    ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    texts = common.written(rows.where("entries is not null").groupBy("digest").agg(F.min("uid").alias("rep")), "distinct-texts")
-    reps = rows.join(texts.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    members = reps.select("uid", F.explode("entries").alias("bucket"))
-    several = common.written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
-    shared = common.written(members.join(several, "bucket"), "buckets")
-    central = common.written(shared.groupBy("uid").agg(F.sum("n").alias("degree")), "degrees")
-    pivots = common.written(shared.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("uid")).alias("uid"))).alias("top")).select("bucket", (-F.col("top.uid")).alias("pivot")), "pivots")
+def classes(rows: DataFrame, distinct: DataFrame, work: common.Scratch, least: float) -> DataFrame:
+    """(uid, root) of the texts that have links. ``rows``: uid, words, entries; ``distinct``: uid of one row of each text."""
+    members = rows.select("uid", "entries").join(distinct.hint("merge"), "uid", "left_semi").select("uid", F.explode("entries").alias("bucket"))
+    several = work.written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    shared = work.written(members.join(several.hint("merge"), "bucket"), "buckets")
+    central = work.written(shared.groupBy("uid").agg(F.sum("n").alias("degree")), "degrees")
+    pivots = work.written(shared.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("uid")).alias("uid"))).alias("top")).select("bucket", (-F.col("top.uid")).alias("pivot")), "pivots")
     pairs = shared.join(pivots, "bucket").where("uid != pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    body = rows.select("uid", "words")
-    stars = compared(pairs, body, least)
+    texts = work.written(rows.select("uid", "words").join(central.select("uid").hint("merge"), "uid", "left_semi"), "texts")
+    stars = work.written(compared(pairs, texts, least), "stars")
     links = stars.where("linked").select("a", "b")
-    roots = components(links)
-    more = verified(left_over(stars, roots, least), body, least)
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    classes = rows.select("uid", "doc_id", F.when(F.col("entries").isNotNull(), F.col("digest")).alias("digest")).join(texts, "digest", "left")
-    classed = classes.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", "doc_id", F.coalesce("root", "rep", "uid").alias("root"))
+    roots = components(links, work)
+    met = meetings(stars, work, least)
+    for ask in (pairs_with_central, pairs_that_meet):
+        more = work.written(verified(ask(with_roots(met, roots), work, least), texts, least), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links, work)
+    return roots
+
+
+def decide(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """uid, doc_id, class_id, class_size, kept and the row's key of every document."""
+    work = common.Scratch()
+    rows = work.written(sketched(docs, least), "sketches")
+    ranked = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    texts = work.written(rows.where("entries is not null").groupBy("digest").agg(F.min("uid").alias("rep")), "distinct-texts")
+    roots = classes(rows, texts.select(F.col("rep").alias("uid")), work, least)
+    own = rows.select("uid", "doc_id", "key0", "key1", F.when(F.col("entries").isNotNull(), F.col("digest")).alias("digest")).join(texts, "digest", "left")
+    classed = own.join(roots.withColumnRenamed("uid", "rep"), "rep", "left").select("uid", "doc_id", "key0", "key1", F.coalesce("root", "rep", "uid").alias("root"))
     classed = common.written(classed, "classes")
     heads = common.written(classed.groupBy("root").agg(F.min(ranked).alias("head"), F.count("*").alias("class_size")), "heads")
-    return classed.join(heads, "root").select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"))
+    work.clear()
+    return classed.join(heads, "root").select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("head.uid")).alias("kept"), "key0", "key1")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
