@@ -24,7 +24,10 @@ STATISTICS = ["chars", "word_length", "upper", "symbols", "digits", "bangs", "ba
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Statistics of column text, and the columns ``keep`` as the struct kept_columns."""
+    """Statistics of column text, and the columns ``keep`` as the struct kept_columns.
+
+    They come out of a generator of one row: what is decided by them can't be pushed below it, where Spark would take each of them anew for every rule.
+    """
     t = F.col("body")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
     base = docs.select(F.struct(*keep).alias("kept_columns"), common.text_or_empty().alias("body"))  # their names may clash with those below
@@ -34,10 +37,11 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size(F.split(t, "\n")).cast("double").alias("l"), F.size(F.array_distinct(F.split(t, "\n"))).cast("double").alias("m"),
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1.0))
-    return counted.select(
-        "kept_columns", F.log1p("n").alias("chars"), per("n", "w").alias("word_length"), per("u", "n").alias("upper"), per("s", "n").alias("symbols"), per("d", "n").alias("digits"), per("b", "w").alias("bangs"), per("p", "w").alias("bars"),
+    found = [
+        F.log1p("n").alias("chars"), per("n", "w").alias("word_length"), per("u", "n").alias("upper"), per("s", "n").alias("symbols"), per("d", "n").alias("digits"), per("b", "w").alias("bangs"), per("p", "w").alias("bars"),
         per("e", "w").alias("ends"), per("v", "w").alias("distinct"), per("r", "w").alias("repeats"), per("l", "w").alias("lines"), (F.lit(1.0) - per("m", "l")).alias("line_repeats"),
-    )
+    ]
+    return counted.select("kept_columns", F.inline(F.array(F.struct(*found))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
