@@ -96,7 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, share: float = SHARE, limit: i
             texts = common.column(b, "text").cast(pa.large_string())
             n = np.zeros(len(texts), np.int64)
             whole = enc.whole(texts)
-            for i, x in zip(np.flatnonzero(whole), enc.library(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else [], strict=True):
+            for i, x in zip(np.flatnonzero(whole), enc.library(common.values(texts.filter(pa.array(whole)))) if whole.any() else [], strict=True):
                 n[i] = len(x)
             if not whole.all():
                 keys, at, parts = enc.codes(texts.filter(pa.array(~whole)))

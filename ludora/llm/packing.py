@@ -1,14 +1,15 @@
 """Op 3: documents packed into sequences of equal attention cost.
 
-Documents are encoded where they are read and cut into full sequences and a rest. Full sequences stand
-as they are. Rests go, by a hash of their row, to groups of about ``GROUP_SEQUENCES`` sequences of tokens;
-a group is packed on its own: rests in descending order of length, each into the sequence of the lowest
-estimated cost (linear plus quadratic in the length of each piece) that still has room for it. As many
-sequences are open as the group's tokens fill; a rest that fits nowhere is cut over the emptiest ones.
-What remains in a group, less than one sequence, is dealt into sequences of powers of two, which
-need no padding.
-
-Null or empty texts: the end id only. Repeated rows are packed each for itself. Empty tables: no piece.
+Documents are encoded where they are read and cut into pieces of at most ``PIECE_TOKENS``, half a sequence:
+one piece that filled a sequence would cost half as much again as any mixture. All pieces go, by a hash of
+their number, to groups of about ``GROUP_SEQUENCES`` sequences of tokens; a group is packed on its own: pieces
+in descending order of length, each into the sequence of the lowest estimated cost (linear plus quadratic in
+the length of each piece) that still has room for it. As many sequences are open as the group's tokens
+fill; a piece that fits nowhere is cut over the emptiest ones. What remains in a group, less than one
+sequence, is dealt into sequences of powers of two, which need no padding.
+
+Null or empty texts: the end id only. Null doc_ids stay null. Repeated rows are packed each for itself.
+Empty tables: no piece. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from . import common, tokens
 
 LENGTH = 2048
 EOS = 1
+PIECE_TOKENS = LENGTH // 2
 GROUP_SEQUENCES = 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -57,47 +59,51 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH) -> DataFrame:
-    """Full sequences and rests with their ids (little-endian unsigned 32-bit); uid tells the pieces apart."""
+def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = PIECE_TOKENS) -> DataFrame:
+    """Pieces of at most ``most`` ids (little-endian, of 16 bits each where all of a slice's ids fit, else 32); uid tells them apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 33
-        for b in common.slices(batches, limit=8 << 20):
+        for b in common.slices(batches):
             flat, counts = enc.ids(common.column(b, "text"))
-            flat, counts = np.insert(flat, np.cumsum(counts), eos).astype("<u4"), counts + 1
-            pieces = -(-counts // length)
+            flat, counts = np.insert(flat, np.cumsum(counts), eos), counts + 1
+            flat = flat.astype("<u2" if flat.max() < 1 << 16 else "<u4")
+            pieces = -(-counts // most)
             doc = np.repeat(np.arange(len(counts)), pieces)
             nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = nth * length
-            size = np.minimum(length, counts[doc] - start)
+            start = nth * most
+            size = np.minimum(most, counts[doc] - start)
             first = (np.cumsum(counts) - counts)[doc] + start
-            raw = memoryview(flat).cast("B")
-            ids = [bytes(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
-            yield pa.record_batch({"uid": pa.array(uid + np.arange(len(doc)), pa.int64()), "doc_id": common.column(b, "doc_id").take(pa.array(doc)), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "doc_tokens": pa.array(counts[doc], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+            raw, width = memoryview(flat).cast("B"), flat.itemsize
+            ids = [bytes(raw[width * a : width * (a + n)]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+            yield pa.record_batch({"uid": pa.array(uid + np.arange(len(doc)), pa.int64()), "doc_id": common.column(b, "doc_id").take(pa.array(doc)), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "doc_tokens": pa.array(counts[doc], pa.int64()), "ids": pa.array(ids, pa.binary())})
             uid += len(doc)
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    return common.map_arrow(rows, cut, "uid long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary")
+    return common.map_arrow(rows, cut, "uid long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH, group_sequences: int = GROUP_SEQUENCES) -> DataFrame:
     """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place: sequence_id and offset."""
-    pieces = common.written(encode_pieces(docs, tokenizer, eos, length), "pieces")
-    whole = pieces.where(F.col("length") == length).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
-    rests = pieces.where(F.col("length") < length)
-    tokens_left = rests.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens_left // (length * group_sequences)))
+    pieces = common.written(encode_pieces(docs, tokenizer, eos, length // 2), "pieces")
+    total = pieces.agg(F.sum("length")).first()[0] or 0
+    groups = max(1, -(-total // (length * group_sequences)))
 
     def pack_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
-        item, at, n, s, offset = (np.array(x, np.int64) for x in zip(*assign(group["length"].tolist(), length), strict=True))
-        ids = [raw[4 * a : 4 * (a + k)] for raw, a, k in zip(group["ids"].to_numpy()[item], at.tolist(), n.tolist(), strict=True)]
-        base = (1 << 62) + (int(key[0]) << 24)
-        return pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[item], "start": group["start"].to_numpy()[item] + at, "length": n, "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": group["doc_tokens"].to_numpy()[item], "sequence_id": base + s, "offset": offset, "ids": ids})
-
-    dealt = rests.withColumn("pack_group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    packed = dealt.groupBy("pack_group").applyInPandas(pack_group, PIECE)
-    return whole.unionByName(packed)
+        lengths = group["length"].tolist()
+        item, at, n, s, offset = (np.array(x, np.int64) for x in zip(*assign(lengths, length), strict=True))
+        ids = []
+        for k, a, m in zip(item.tolist(), at.tolist(), n.tolist(), strict=True):
+            raw = group["ids"].iat[k]
+            ids.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * lengths[k] else "<u4")[a : a + m].astype("<u4").tobytes())
+        base = int(key[0]) << 24
+        doc_id = pd.arrays.IntegerArray(group["doc_id"].to_numpy()[item], group["no_id"].to_numpy()[item])
+        return pd.DataFrame({"doc_id": doc_id, "start": group["start"].to_numpy()[item] + at, "length": n, "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": group["doc_tokens"].to_numpy()[item], "sequence_id": base + s, "offset": offset, "ids": ids})
+
+    # pandas would make doubles of ids among which are nulls
+    dealt = pieces.withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0)), "pack_group": F.pmod(F.xxhash64("uid"), F.lit(groups))})
+    return dealt.groupBy("pack_group").applyInPandas(pack_group, PIECE)
 
 
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

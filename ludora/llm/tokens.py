@@ -18,10 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import values
+
 #: Characters in a part that is kept in the cache.
 CACHED_CHARS = 48
 #: Parts in a worker's cache; beyond it the less used half goes.
-CACHED_PARTS = 600_000
+CACHED_PARTS = 400_000
+#: Words that the library gets in one text.
+LINE = 200
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = r"[\t-\r\x1c- \x{85}\pZ]"
 
@@ -51,6 +55,20 @@ class Parts:
         self.flat = np.concatenate([self.flat, flat])
 
 
+#: Parts whose ids are put together at once.
+BLOCK = 1 << 16
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the parts ``at`` end to end, and the number of them before each part. Block by block: only the result is large."""
+    ends = np.concatenate([[0], np.cumsum(lens[at])])
+    out = np.empty(int(ends[-1]), np.int32)
+    for lo in range(0, len(at), BLOCK):
+        some = at[lo : lo + BLOCK]
+        out[ends[lo] : ends[lo + len(some)]] = flat[spread(starts[some], lens[some])]
+    return out, ends
+
+
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, ... (length of them) for each pair, end to end."""
     total = int(lens.sum())
@@ -124,13 +142,13 @@ class Encoder:
         at, words = coded.indices.to_numpy(), coded.dictionary
         counts = np.diff(offsets).astype(np.int64)
         if self.first_as_rest:
-            return words.to_pylist(), at, counts
+            return values(words), at, counts
         firsts = (offsets[:-1] - offsets[0]).astype(np.int64)
         lead = pa.array(words.take(pa.array(at[firsts]))).dictionary_encode()
-        keys = [" " + w for w in words.to_pylist()]
+        keys = [" " + w for w in values(words)]
         at = at.copy()
         at[firsts] = len(keys) + lead.indices.to_numpy()
-        return keys + lead.dictionary.to_pylist(), at, counts
+        return keys + values(lead.dictionary), at, counts
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -140,7 +158,7 @@ class Encoder:
         whole = self.whole(texts)
         if whole.any():
             out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-            for i, x in zip(np.flatnonzero(whole), self.library(texts.filter(pa.array(whole)).to_pylist()), strict=True):
+            for i, x in zip(np.flatnonzero(whole), self.library(values(texts.filter(pa.array(whole)))), strict=True):
                 out[i] = np.array(x, np.int32)
             if not whole.all():
                 flat, counts = self.joined(texts.filter(pa.array(~whole)))
@@ -157,10 +175,8 @@ class Encoder:
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keys, at, counts = self.codes(texts)
         starts, lens, flat = self.resolve(keys)
-        sizes = lens[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return flat[spread(starts[at], sizes)], np.diff(ends[bounds])
+        ids, ends = gathered(flat, starts, lens, at)
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 class JsonEncoder(Encoder):
@@ -172,6 +188,7 @@ class JsonEncoder(Encoder):
 
         super().__init__(limit)
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # what it is given is distinct already: its own cache would only be filled and missed
         with open(path) as f:
             spec = json.load(f)
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
@@ -198,12 +215,12 @@ class JsonEncoder(Encoder):
     def words(self, words: pa.Array) -> Flat:
         """Ids of each; words of letters only go in long lines, in which the marks tell them apart."""
         if self.plain is None:
-            return flattened(self.library(words.to_pylist()))
+            return flattened(self.library(values(words)))
         plain = pc.match_substring_regex(words, self.plain).to_numpy(zero_copy_only=False)
-        lines, gap = words.filter(pa.array(plain)).to_pylist(), " " if self.first_as_rest else ""
+        lines, gap = values(words.filter(pa.array(plain))), " " if self.first_as_rest else ""
         flats, sizes = [], []
-        for at in range(0, len(lines), 2000):
-            some = lines[at : at + 2000]
+        for at in range(0, len(lines), LINE):
+            some = lines[at : at + LINE]
             ids = np.array(self.library([gap.join(some)])[0], np.int32)
             edges = np.flatnonzero(self.mark[ids])
             if len(edges) != len(some):
@@ -212,7 +229,7 @@ class JsonEncoder(Encoder):
                 lens = np.diff(edges, prepend=-1) if self.first_as_rest else np.diff(edges, append=len(ids))
             flats.append(ids)
             sizes.append(lens)
-        _, lens, flat = flattened(self.library(words.filter(pa.array(~plain)).to_pylist()))
+        _, lens, flat = flattened(self.library(values(words.filter(pa.array(~plain)))))
         all_lens = np.zeros(len(words), np.int64)
         all_lens[plain], all_lens[~plain] = np.concatenate(sizes) if sizes else 0, lens
         starts, quick = np.zeros(len(words), np.int64), np.concatenate(flats) if flats else np.zeros(0, np.int32)

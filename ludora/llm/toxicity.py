@@ -122,7 +122,7 @@ def features(texts: pa.Array, lexicons: list[Lexicon]) -> list[np.ndarray]:
     ends = pc.match_substring_regex(written, r"[.!?;:]$|\n").to_numpy(zero_copy_only=False)[at]
     distinct = normal.dictionary_encode()
     to_normal = distinct.indices.to_numpy()
-    words, starts, out = distinct.dictionary.to_pylist(), np.cumsum(counts) - counts, []
+    words, starts, out = common.values(distinct.dictionary), np.cumsum(counts) - counts, []
     for lexicon in lexicons:
         read = [lexicon.read(w) for w in words]
         kind = np.array([c for c, _ in read], np.int8)[to_normal][at]
@@ -152,7 +152,7 @@ def count_stems(rows: DataFrame) -> DataFrame:
     def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             found: Counter = Counter()
-            for text in common.column(b, "text").to_pylist():
+            for text in common.values(common.column(b, "text")):
                 found.update(stems_of(text))
             yield pa.record_batch({"stem": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -164,7 +164,7 @@ def count_stems(rows: DataFrame) -> DataFrame:
         known = sent.value
         for b in common.slices(batches):
             found: Counter = Counter()
-            for text, half, label in zip(common.column(b, "text").to_pylist(), common.column(b, "half").to_pylist(), common.column(b, "label").to_pylist(), strict=True):
+            for text, half, label in zip(common.values(common.column(b, "text")), common.column(b, "half").to_pylist(), common.column(b, "label").to_pylist(), strict=True):
                 found.update((s, half, label == 1) for s in stems_of(text) & known)
             yield pa.record_batch({"stem": pa.array([k[0] for k in found], pa.string()), "half": pa.array([k[1] for k in found], pa.int32()), "toxic": pa.array([n * k[2] for k, n in found.items()], pa.int64()), "clean": pa.array([n * (not k[2]) for k, n in found.items()], pa.int64())})
 

@@ -52,7 +52,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int
             ones.append(ones[-1] + int(np.count_nonzero(one)))
         ends = np.cumsum([0, *map(len, blocks)])
         out += [struct.pack("<Q", len(seq) - ones[-1]), ends.astype("<u8").tobytes(), np.array(ones, "<u8").tobytes(), *blocks]
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))])
     return b"".join(out)
 
 
@@ -147,8 +147,8 @@ class Shard:
         for p in reversed(range(self.levels)):
             bit = np.concatenate([self.block(p, k) for k in range(-(-self.n // BLOCK_BITS))]) if self.n else np.zeros(0, bool)
             zeros, up = int(self.planes[p][0]), np.empty_like(values)
-            up[~bit] = values[:zeros]
-            up[bit] = values[zeros:] | (1 << self.levels - 1 - p)
+            up[np.flatnonzero(~bit)] = values[:zeros]
+            up[np.flatnonzero(bit)] = values[zeros:] | (1 << self.levels - 1 - p)
             values = up
             self.open.clear()
         return values

@@ -130,6 +130,19 @@ def test_costs_are_balanced():
     assert np.std(full) / np.mean(full) < 0.35
 
 
+def test_long_documents_share_sequences_at_the_cost_of_others(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = np.random.default_rng(6)
+    docs = [(i, "word " * int(n)) for i, n in enumerate([*r.integers(5, 300, 600), *r.integers(2000, 9000, 20)])]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), path, length=256).collect()
+    spent = {}
+    for x in got:
+        assert x["length"] <= 128
+        spent.setdefault(x["sequence_id"], []).append(x["length"])
+    full = [sum(map(packing.cost, n)) for n in spent.values() if sum(n) == 256]
+    assert len(full) > 300 and max(full) <= 1.25 * np.mean(full)
+
+
 def test_counts_and_round_trip_of_odd_rows(odd, nothing, odd_rows):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
