@@ -7,7 +7,8 @@ is a single scan without a shuffle.
 
 Labels are learnt only from rows that are not held out; about ``MAX_LABELLED`` of them at most, drawn by
 a hash of doc_id. Null or empty texts have statistics of 0 and are scored like others. Labels of one
-kind only: that kind's share is every score; none: 0.5. Repeated rows each get their row. Empty tables:
+kind only: that kind's share is every score; none: 0.5. Null doc_ids: scored like others, never learnt from.
+Of several labels of a doc_id the highest counts, of several texts one. Repeated rows each get their row. Empty tables:
 no rows. Columns besides doc_id and text are not read.
 """
 
@@ -45,13 +46,17 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """Documents with their label, of rows that may be learnt from, about ``bound`` at most."""
-    usable = labels.where(~common.held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("label"))
+    """doc_id, text and label of documents that may be learnt from, about ``bound`` of them at most.
+
+    Of several labels of a doc_id the highest counts, of several texts the least: one row for each, whatever the tables repeat.
+    """
+    usable = labels.where(~common.held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("double")).alias("label"))
     total = usable.count()
     share = min(1.0, bound / total) if total else 1.0
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["doc_id"])
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # about ``bound`` rows of two numbers
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = MAX_LABELLED, lasso: float = LASSO) -> tuple[float, list[tuple[list[trees.Test], float]]]:

@@ -1,10 +1,11 @@
 """Op 5: toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are read as classes: insult, threat, target (a person spoken to or of), negation, reported speech,
-or other. Small weighted transducers, one for each influence, are composed into one machine that reads a
-clause: an insult or threat counts with its own weight, more so near a target, less so after a negation
-or in reported speech. Scores come from matched clauses, and a logistic model over a text's clauses makes
-them a probability.
+or other. Small weighted transducers, two that give out the weight of an insult or threat and three that
+scale what is given out (more near a target, less after a negation or in reported speech), are composed into
+one machine that reads a clause. Scores come from matched clauses: what they give out with these factors, and
+how much of it was targeted, negated and reported, so that the logistic model over a text's clauses learns from labels
+how far the factors, its prior, hold. The model makes a probability of them.
 
 The insult lexicon is learnt from labelled rows that are not held out (about ``MAX_LABELLED`` at most,
 drawn by a hash of doc_id): words, and stems of words, whose share among toxic texts departs from chance
@@ -12,8 +13,9 @@ by far. A word has the weight of itself, else of its longest known stem. Lexicon
 fitted on different halves of the rows, so that chance words don't count as evidence.
 
 Texts are read whole. Null or empty texts: no clause matches; the score is that of such texts. Labels of
-one kind only, or none: the fixed words alone, with a fixed logistic model. Repeated rows each get their
-row. Empty tables: no rows. Columns besides doc_id and text are not read (others are passed on).
+one kind only, or none: the fixed words alone, with a fixed logistic model. Null doc_ids: scored like others,
+never learnt from. Of several labels of a doc_id the highest counts, of several texts one. Repeated rows each get
+their row. Empty tables: no rows. Columns besides doc_id and text are not read (others are passed on).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +52,41 @@ THREATS = "kill hurt destroy murder burn shoot stab beat die hang tuer töten um
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 
-def after(cause: int, reach: int, factor: float) -> tuple[list[list[int]], list[float]]:
-    """Transducer: for ``reach`` words after ``cause``, what is matched counts times ``factor``. States: words left."""
+class Machine(NamedTuple):
+    """Transducer over word classes: next state by state and class, factor of each state, which influences act in it, classes whose weight it gives out."""
+
+    moves: list[list[int]]
+    factors: list[float]
+    acting: list[frozenset[int]]
+    gives: frozenset[int]
+
+
+def giving(kind: int) -> Machine:
+    """Gives out the weight of every word of ``kind``."""
+    return Machine([[0] * 6], [1.0], [frozenset()], frozenset([kind]))
+
+
+def after(cause: int, reach: int, factor: float) -> Machine:
+    """For ``reach`` words after ``cause``, what is given out counts times ``factor``. States: words left."""
     moves = [[reach if c == cause else max(0, s - 1) for c in range(6)] for s in range(reach + 1)]
-    return moves, [factor if s else 1.0 for s in range(reach + 1)]
+    return Machine(moves, [factor if s else 1.0 for s in range(reach + 1)], [frozenset([cause] if s else []) for s in range(reach + 1)], frozenset())
 
 
-def compose(*machines: tuple[list[list[int]], list[float]]) -> tuple[list[list[int]], list[float]]:
+def compose(*machines: Machine) -> Machine:
     """All at once: a state for each combination, its factor the product of theirs."""
-    states = list(itertools.product(*[range(len(m[1])) for m in machines]))
+    states = list(itertools.product(*[range(len(m.factors)) for m in machines]))
     number = {s: i for i, s in enumerate(states)}
-    moves = [[number[tuple(m[0][x][c] for m, x in zip(machines, s, strict=True))] for c in range(6)] for s in states]
-    return moves, [float(np.prod([m[1][x] for m, x in zip(machines, s, strict=True)])) for s in states]
+    moves = [[number[tuple(m.moves[x][c] for m, x in zip(machines, s, strict=True))] for c in range(6)] for s in states]
+    factors = [float(np.prod([m.factors[x] for m, x in zip(machines, s, strict=True)])) for s in states]
+    acting = [frozenset().union(*[m.acting[x] for m, x in zip(machines, s, strict=True)]) for s in states]
+    return Machine(moves, factors, acting, frozenset().union(*[m.gives for m in machines]))
 
 
-MOVES, FACTORS = compose(after(TARGET, 4, 1.5), after(NEGATION, 3, 0.3), after(REPORT, 12, 0.5))
-FEATURES = 8
+#: What scales a word's weight, and the words it reaches.
+INFLUENCES = (after(TARGET, 4, 1.5), after(NEGATION, 3, 0.3), after(REPORT, 12, 0.5))
+LONGEST = 12
+GRAMMAR = compose(giving(INSULT), giving(THREAT), *INFLUENCES)
+FEATURES = 11
 
 
 class Lexicon:
@@ -96,26 +118,40 @@ def read_words(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndar
     return written, normal, coded.indices.to_numpy(), np.diff(cut.offsets.to_numpy())
 
 
-def clauses(classes: list[int], weights: list[float], ends: list[bool]) -> list[tuple[float, float]]:
-    """(weight of insults, weight of threats) of each clause that has any."""
-    state, insult, threat, out = 0, 0.0, 0.0, []
-    for c, w, end in zip(classes, weights, ends, strict=True):
-        if c:
-            if c == INSULT:
-                insult += w * FACTORS[state]
-            elif c == THREAT:
-                threat += w * FACTORS[state]
-        state = MOVES[state][c]
+class Clause(NamedTuple):
+    """What a clause gave out: insults and threats with the factors, and without them what was targeted, negated and reported."""
+
+    insult: float
+    threat: float
+    targeted: float
+    negated: float
+    reported: float
+
+
+def clauses(classes: np.ndarray, weights: np.ndarray, ends: np.ndarray, grammar: Machine = GRAMMAR) -> list[Clause]:
+    """The clauses of one text that give out anything."""
+    out, got, state, last = [], [0.0] * 5, 0, -1
+    moves, factors, acting, gives = grammar
+    places = np.flatnonzero((classes != OTHER) | ends)
+    for i, c, w, end in zip(places.tolist(), classes[places].tolist(), weights[places].tolist(), ends[places].tolist(), strict=True):
+        for _ in range(min(i - last - 1, LONGEST)):  # other words in between
+            state = moves[state][OTHER]
+        if c in gives:
+            got[0 if c == INSULT else 1] += w * factors[state]
+            for k, influence in enumerate((TARGET, NEGATION, REPORT)):
+                if influence in acting[state]:
+                    got[2 + k] += w
+        state, last = moves[state][c], i
         if end:
-            if insult or threat:
-                out.append((insult, threat))
-            state, insult, threat = 0, 0.0, 0.0
-    if insult or threat:
-        out.append((insult, threat))
+            if got[0] or got[1]:
+                out.append(Clause(*got))
+            state, got = 0, [0.0] * 5
+    if got[0] or got[1]:
+        out.append(Clause(*got))
     return out
 
 
-def features(texts: pa.Array, lexicons: list[Lexicon]) -> list[np.ndarray]:
+def features(texts: pa.Array, lexicons: list[Lexicon], grammar: Machine = GRAMMAR) -> list[np.ndarray]:
     """For each lexicon a row of features for each text."""
     texts = texts.cast(pa.large_string())
     written, normal, at, counts = read_words(texts)
@@ -126,17 +162,17 @@ def features(texts: pa.Array, lexicons: list[Lexicon]) -> list[np.ndarray]:
     for lexicon in lexicons:
         read = [lexicon.read(w) for w in words]
         kind = np.array([c for c, _ in read], np.int8)[to_normal][at]
-        weight = np.array([x for _, x in read])[to_normal][at]
+        weight = np.array([x for _, x in read], np.float32)[to_normal][at]
         hit = (kind == INSULT) | (kind == THREAT)
         hits = np.add.reduceat(np.append(hit, False), starts) if len(starts) else np.zeros(0)
         found = np.zeros((len(texts), FEATURES))
         for i in np.flatnonzero(hits):
             a, b = starts[i], starts[i] + counts[i]
-            got = clauses(kind[a:b].tolist(), weight[a:b].tolist(), ends[a:b].tolist())
-            own = sorted((x + y for x, y in got), reverse=True)
+            got = clauses(kind[a:b], weight[a:b], ends[a:b], grammar)
+            own = sorted((c.insult + c.threat for c in got), reverse=True)
             thousands = 1 + counts[i] / 1000
             met = np.unique(to_normal[at[a:b]][kind[a:b] == INSULT])
-            found[i] = np.log1p(sum(own)), own[0], sum(own[1:2]), np.log1p(len(own)), np.log1p(10 * sum(own) / (20 + counts[i])), np.log1p(len(met)), np.log1p(sum(y for _, y in got)), sum(own[:3]) / thousands
+            found[i] = [np.log1p(sum(own)), own[0], sum(own[1:2]), np.log1p(len(own)), np.log1p(10 * sum(own) / (20 + counts[i])), np.log1p(len(met)), np.log1p(sum(c.threat for c in got)), sum(own[:3]) / thousands, *[np.log1p(sum(x)) for x in list(zip(*got, strict=True))[2:]]]
         out.append(found)
     return out
 
@@ -205,7 +241,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarr
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, grammar: Machine = GRAMMAR) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and logistic weights."""
     rows = labelled(docs, labels, "toxic", bound).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int"))
     rows = common.written(rows.select("text", "half", "label"), "labelled-texts")
@@ -227,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tupl
         lexicons = [Lexicon(h) for h in halves]
         for b in common.slices(batches):
             half = common.column(b, "half").to_numpy()
-            zero, one = features(common.column(b, "text"), lexicons)
+            zero, one = features(common.column(b, "text"), lexicons, grammar)
             x = np.where((half == 0)[:, None], one, zero)  # by what the other half taught
             yield pa.record_batch({"label": common.column(b, "label"), **{n: pa.array(x[:, k]) for k, n in enumerate(names)}})
 
@@ -240,16 +276,16 @@ def lexicon(entries: tuple[tuple[str, float], ...]) -> Lexicon:
     return Lexicon(dict(entries))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = MAX_LABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bound: int = MAX_LABELLED, grammar: Machine = GRAMMAR) -> DataFrame:
     """The columns of ``docs`` and score, predicted of every row (names of theirs that clash are replaced)."""
-    weights, model = learn(docs, labels, bound)
+    weights, model = learn(docs, labels, bound, grammar)
     entries, coefficients = tuple(weights.items()), model.tolist()
     kept = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon(entries)
-        for b in common.slices(batches, limit=8 << 20):
-            (x,) = features(pc.fill_null(common.column(b, "text"), ""), [known])
+        for b in common.slices(batches):
+            (x,) = features(pc.fill_null(common.column(b, "text"), ""), [known], grammar)
             p = 1 / (1 + np.exp(-(coefficients[0] + x @ np.array(coefficients[1:]))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 

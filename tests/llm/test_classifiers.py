@@ -69,26 +69,102 @@ def test_odd_rows(odd, nothing, tables, odd_rows):
         assert run(nothing, labels).count() == 0
 
 
+def clauses_of(text, lexicon, grammar=toxicity.GRAMMAR):
+    read = [lexicon.read(w) for w in text.split()]
+    return toxicity.clauses(np.array([c for c, _ in read]), np.array([w for _, w in read]), np.zeros(len(read), bool), grammar)
+
+
 def test_grammar_weighs_clauses():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "zorg*": 2.0})
-    read = lambda s: [lexicon.read(w) for w in s.split()]
-    score = lambda s: sum(x + y for x, y in toxicity.clauses([c for c, _ in read(s)], [w for _, w in read(s)], [False] * len(s.split())))
+    score = lambda s, *g: sum(c.insult + c.threat for c in clauses_of(s, lexicon, *g))
     assert score("such an idiot") == 3.0
     assert score("you idiot") == 3.0 * 1.5
     assert score("he said what an idiot") < score("what an idiot")
     assert score("not an idiot") == pytest.approx(0.9)
+    assert score("not kill") < score("kill") and score("said that word word word kill") < score("that word word word kill") < score("word you kill")
     assert score("a zorgling") == 2.0 and score("a zor") == 0
-    assert toxicity.clauses([1, 4, 1], [1.0, 0, 1.0], [True, True, True]) == [(1.0, 0.0), (1.0, 0.0)]  # a negation ends with its clause
+    one = np.ones(3, bool)
+    got = toxicity.clauses(np.array([1, 4, 1]), np.array([1.0, 0, 1.0]), one)
+    assert [(c.insult, c.threat) for c in got] == [(1.0, 0.0), (1.0, 0.0)]  # a negation ends with its clause
+    (c,) = clauses_of("they said not you idiot", lexicon)
+    assert (c.targeted, c.negated, c.reported) == (3.0, 3.0, 3.0)
+    without = toxicity.compose(toxicity.giving(toxicity.INSULT), toxicity.giving(toxicity.THREAT))
+    assert score("not an idiot", without) == 3.0 and score("kill", toxicity.compose(toxicity.giving(toxicity.INSULT))) == 0
 
 
 def test_composed_machine_is_the_product():
     a, b = toxicity.after(toxicity.TARGET, 2, 1.5), toxicity.after(toxicity.NEGATION, 1, 0.5)
-    moves, factors = toxicity.compose(a, b)
+    both = toxicity.compose(a, b)
     r, state, x, y = random.Random(1), 0, 0, 0
     for _ in range(200):
-        assert factors[state] == a[1][x] * b[1][y]
+        assert both.factors[state] == a.factors[x] * b.factors[y] and both.acting[state] == a.acting[x] | b.acting[y]
         c = r.randrange(6)
-        state, x, y = moves[state][c], a[0][x][c], b[0][y][c]
+        state, x, y = both.moves[state][c], a.moves[x][c], b.moves[y][c]
+
+
+def test_grammar_decides_where_words_do_not(spark):
+    """The same insults in every text: only whether they are negated or reported tells the kinds apart."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["ba", "ko", "mi", "tu", "re", "so"]) for _ in range(r.randint(1, 4)))
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        parts = [[word() for _ in range(12)] for _ in range(4)]
+        for p in parts[:2]:
+            insult = r.choice(["zorgak", "zorgish", "zorgom"])
+            if toxic or i % 8 == 1:
+                p[6:6] = ["you", insult] if toxic else r.choice([["not", insult], ["never", "a", insult], ["said", word(), insult]])
+        parts[3][3:3] = ["you", "not", word(), word(), "never", "a", word(), word(), "said"]  # in every text
+        docs.append((i, " ".join(" ".join(p) + "." for p in parts)))
+        labels.append((i, 0, int(toxic)))
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    errors = lambda **o: sum(x["predicted"] != int(x["doc_id"] % 3 == 0) for x in toxicity.score(*tables, **o).collect() if held(x["doc_id"]))
+    without = toxicity.compose(toxicity.giving(toxicity.INSULT), toxicity.giving(toxicity.THREAT))
+    assert errors() <= 4 and errors(grammar=without) >= 10
+
+
+def test_toxicity_matches_brute_force(spark, tables):
+    """Scores of the distributed query against features taken text by text in plain Python."""
+    docs, labels, _ = tables
+    weights, model = toxicity.learn(docs, labels)
+    lexicon = toxicity.Lexicon(weights)
+    for row in toxicity.score(docs, labels).collect()[:150]:
+        got = []
+        for sentence in re.split(r"(?<=[.!?;:])\s|\n", row["text"]):
+            words = [w.strip(".!?;:,").lower() for w in sentence.split(" ")]
+            read = [lexicon.read(w) for w in words]
+            insult, state = 0.0, {toxicity.TARGET: 0, toxicity.NEGATION: 0, toxicity.REPORT: 0}
+            for c, w in read:
+                if c in (toxicity.INSULT, toxicity.THREAT):
+                    insult += w * (1.5 if state[toxicity.TARGET] else 1) * (0.3 if state[toxicity.NEGATION] else 1) * (0.5 if state[toxicity.REPORT] else 1)
+                for k, reach in ((toxicity.TARGET, 4), (toxicity.NEGATION, 3), (toxicity.REPORT, 12)):
+                    state[k] = reach if c == k else max(0, state[k] - 1)
+            if insult:
+                got.append(insult)
+        (x,) = toxicity.features(__import__("pyarrow").array([row["text"]]), [lexicon])
+        assert x[0, 0] == pytest.approx(np.log1p(sum(got)), rel=1e-5)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-(model[0] + x[0] @ model[1:]))), rel=1e-6)
+
+
+def test_quality_matches_brute_force(tables):
+    """Rules applied in plain Python to the statistics of each text."""
+    docs, labels, _ = tables
+    intercept, rules = quality.learn(docs, labels)
+    stats = {r["doc_id"]: r for r in quality.statistics(docs, ["doc_id"]).select("kept_columns.doc_id", *quality.STATISTICS).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for row in quality.score(docs, labels, ["doc_id"]).collect():
+        s, t = stats[row["doc_id"]], texts[row["doc_id"]]
+        assert s["chars"] == pytest.approx(np.log1p(len(t))) and s["symbols"] == pytest.approx(len(re.findall(r"[#$%&*~^=<>{}|\\_@+]", t)) / len(t))
+        assert s["distinct"] == pytest.approx(len(set(t.split(" "))) / len(re.findall(r"\S+", t)))
+        total = intercept + sum(w for tests, w in rules if all(s[quality.STATISTICS[i]] <= x if op == "<=" else s[quality.STATISTICS[i]] > x for i, op, x in tests))
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_clashing_labels_and_repeated_rows_are_one(spark, tables):
+    docs, labels, _ = tables
+    once = quality.labelled(docs, labels, "toxic", 100_000)
+    many = quality.labelled(docs.union(docs), labels.union(labels), "toxic", 100_000)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, many.collect()))
 
 
 URLS = [
