@@ -324,17 +324,21 @@ def pairs_that_meet(met: DataFrame, work: common.Scratch, least: float) -> DataF
 
 
 def components(links: DataFrame, work: common.Scratch) -> DataFrame:
-    """(uid, root) of all ends of ``links`` (a, b): the smallest uid that is reached. Labels and the labels of labels, until none changes."""
-    both = work.written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
-    labels = work.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("uid"), F.least("a", "m").alias("root")), "roots")
-    while True:
-        near = both.join(labels.select(F.col("uid").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "uid"), "uid").select("uid", F.col("root").alias("old"), F.least("root", "m").alias("low"))
-        jump = labels.select(F.col("uid").alias("low"), F.col("root").alias("far"))
-        step = work.written(lower.join(jump, "low", "left").select("uid", F.least("low", F.coalesce("far", "low")).alias("root"), "old"), "roots")
-        labels = step.select("uid", "root")
-        if step.where("root != old").isEmpty():
-            return labels
+    """(uid, root) of all ends of ``links`` (a, b); the texts of a class have one of them as their root.
+
+    Every end goes over to its neighbour of least hash, if that is less than its own; links become links between those, and
+    links within one are gone. So a star is gone in two rounds and a chain, whatever its ids, in about the logarithm of its length.
+    """
+    links = work.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    roots = work.written(links.select(F.explode(F.array("a", "b")).alias("uid")).distinct().withColumn("root", F.col("uid")), "roots")
+    order = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("uid"))
+    while not links.isEmpty():
+        near = links.select("a", order("b").alias("to")).union(links.select("b", order("a").alias("to")))
+        moves = work.written(near.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("root"), F.least("to", order("a")).getField("uid").alias("goes")), "moves")
+        roots = work.written(roots.join(moves, "root", "left").select("uid", F.coalesce("goes", "root").alias("root")), "roots")
+        moved = links.join(moves.select(F.col("root").alias("a"), F.col("goes").alias("x")), "a").join(moves.select(F.col("root").alias("b"), F.col("goes").alias("y")), "b")
+        links = work.written(moved.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return roots
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

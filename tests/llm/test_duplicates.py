@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from ludora.llm import exact, neardup, simhash
+from ludora.llm import common, exact, neardup, simhash
 
 
 def brute_exact(rows):
@@ -143,6 +143,23 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert got.select("class_id").distinct().count() == 1
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    r, links = random.Random(8), []
+    links += [(i, i + 1) for i in range(100)]  # a chain in order
+    links += [(1000, 1000 + i) for i in range(1, 50)] + [(1030, 1000 - i) for i in range(1, 20)]
+    links += [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)]
+    links += [(3000 + r.randrange(200), 3000 + r.randrange(200)) for _ in range(150)]
+    parent = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in range(len(parent)):
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    work = common.Scratch()
+    got = {x["uid"]: x["root"] for x in neardup.components(spark.createDataFrame(links * 2, "a long, b long"), work).collect()}
+    assert got.keys() == parent.keys() and len({(got[x], parent[x]) for x in got}) == len(set(got.values())) == len(set(parent.values()))
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), work).count() == 0
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
