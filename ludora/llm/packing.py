@@ -59,11 +59,11 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = PIECE_TOKENS) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = PIECE_TOKENS, cached_parts: int = tokens.CACHED_PARTS) -> DataFrame:
     """Pieces of at most ``most`` ids (little-endian, of 16 bits each where all of a slice's ids fit, else 32); uid tells them apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, uid = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 33
+        enc, uid = tokens.encoder(tokenizer, cached_parts), TaskContext.get().partitionId() << 33
         for b in common.slices(batches):
             flat, counts = enc.ids(common.column(b, "text"))
             flat, counts = np.insert(flat, np.cumsum(counts), eos), counts + 1
@@ -83,9 +83,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = P
     return common.map_arrow(rows, cut, "uid long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH, group_sequences: int = GROUP_SEQUENCES) -> DataFrame:
-    """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place: sequence_id and offset."""
-    pieces = common.written(encode_pieces(docs, tokenizer, eos, length // 2), "pieces")
+def pack(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH, group_sequences: int = GROUP_SEQUENCES, cached_parts: int = tokens.CACHED_PARTS) -> DataFrame:
+    """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place: sequence_id and offset. ``cached_parts``: words that a worker remembers."""
+    pieces = common.written(encode_pieces(docs, tokenizer, eos, length // 2, cached_parts), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (length * group_sequences)))
 

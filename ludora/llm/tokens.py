@@ -23,7 +23,7 @@ from .common import values
 #: Characters in a part that is kept in the cache.
 CACHED_CHARS = 48
 #: Parts in a worker's cache; beyond it the less used half goes.
-CACHED_PARTS = 400_000
+CACHED_PARTS = 600_000
 #: Words that the library gets in one text.
 LINE = 200
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -280,6 +280,6 @@ class PieceEncoder(Encoder):
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached_parts: int = CACHED_PARTS) -> Encoder:
     """One encoder for each worker process and file."""
-    return PieceEncoder(path) if path.endswith(".model") else JsonEncoder(path)
+    return PieceEncoder(path, cached_parts) if path.endswith(".model") else JsonEncoder(path, cached_parts)

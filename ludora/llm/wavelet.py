@@ -44,7 +44,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, levels: int
     out = [MAGIC, struct.pack("<QQHI", len(ids), len(doc_ids), levels, len(docs)), docs]
     seq = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in reversed(range(levels)):
-        bit = (seq >> level & 1).astype(bool)
+        bit = (seq & (1 << level)) != 0
         blocks, ones = [], [0]
         for at in range(0, len(seq), BLOCK_BITS):
             one = bit[at : at + BLOCK_BITS]
