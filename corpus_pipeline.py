@@ -37,7 +37,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    # its workers have served the stages before and are smaller for it
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_parts=300_000).drop("ids")
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality classifier", quality_stage), ("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage), ("packing", packing_stage)]
