@@ -35,12 +35,12 @@ def indie_years(games: DataFrame) -> DataFrame:
     return games.where("os_ok and is_indie_exact and year_ok").select("client_id", F.col("game_id").alias("app_id"), F.col("year").cast("long").alias("release_year"), F.col("playtime").alias("avg_playtime"))
 
 
-def indie_names(games: DataFrame) -> DataFrame:
-    return games.where("names_ok and is_indie").select("client_id", F.col("game_id").alias("app_id"), "name")
+def indie_names(games: DataFrame, *more: str) -> DataFrame:
+    return games.where("names_ok and is_indie").select("client_id", F.col("game_id").alias("app_id"), "name", *more)
 
 
-def game_flags(games: DataFrame) -> DataFrame:
-    return games.where("names_ok").select("client_id", F.col("game_id").alias("app_id"), "name", "is_action", "is_indie")
+def game_flags(games: DataFrame, *more: str) -> DataFrame:
+    return games.where("names_ok").select("client_id", F.col("game_id").alias("app_id"), "name", "is_action", "is_indie", *more)
 
 
 def type_reviews(raw: DataFrame, strict: bool = False) -> DataFrame:

@@ -76,7 +76,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.named_negative_counts(plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir)))
+    return rel.named_negative_counts(plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir), "src_key"))
 
 
 # composite queries
@@ -92,7 +92,7 @@ def q2_decade_topk(spark, sf_dir):
 
 @query("select client_id, app_id, name, positive_reviews from counts join indie_names using (client_id, app_id) qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5")
 def q3_top_positive(spark, sf_dir):
-    return plans.q3(views.games(spark, sf_dir), views.reviews(spark, sf_dir))
+    return plans.q3(views.games(spark, sf_dir), views.reviews(spark, sf_dir), position="src_key")
 
 
 def _language_sql(languages: tuple[str, ...]) -> str:
@@ -130,12 +130,39 @@ LEAST_SPREAD = 2
 def q4_english_negative_games(spark, sf_dir):
     """Q4 over the games table: action games with many English negative reviews."""
     spread = spark.sql(SPREAD_REVIEWS, text_reviews=views.text_reviews(spark, sf_dir), part=views.table(spark, sf_dir, "part"))
-    return plans.q4(views.games(spark, sf_dir), spread, LEAST_SPREAD, detector=language.detect(F.col("review_text"), FOUR))
+    return plans.q4(views.games(spark, sf_dir), spread, LEAST_SPREAD, position="src_key", detector=language.detect(F.col("review_text"), FOUR))
 
 
 @query("select client_id, app_id, name, negative_reviews from action_counts join cut using (client_id) where negative_reviews >= threshold")
 def q5_percentile_cut(spark, sf_dir):
-    return plans.q5(views.games(spark, sf_dir), views.reviews(spark, sf_dir))
+    return plans.q5(views.games(spark, sf_dir), views.reviews(spark, sf_dir), position="src_key")
+
+
+#: Every third game comes once more, later: under a name that sorts first, and no longer an action or indie game where its id is even.
+GIVEN_TWICE = "select *, 1 as pos from {games} union all select client_id, src_key, app_id, 'A ' || name, windows, mac, linux, case when src_key % 2 = 0 then 'rpg' else genres end, release_date, avg_playtime, 2 from {games} where src_key % 3 = 0"
+TWICE = f"""
+, twice as (select t.client_id, t.src_key, t.app_id, t.name, t.genres, t.pos, p.game_id, p.os_ok, p.year_ok,
+  list_contains(string_split(t.genres, ','), 'indie') as indie_exact, list_contains(list_transform(string_split(t.genres, ','), lambda x: trim(x)), 'indie') as indie,
+  list_contains(list_transform(string_split(t.genres, ','), lambda x: trim(x)), 'action') as action
+  from ({GIVEN_TWICE.format(games="games")}) t join typed p on t.client_id = p.client_id and t.src_key = p.src_key),
+usable as (select *, game_id as id from twice where os_ok and game_id is not null and (not indie_exact or year_ok)),
+last_indie as (select client_id, id as app_id, arg_max(name, pos) as name from usable where indie group by all),
+last_flags as (select client_id, id as app_id, arg_max(name, pos) as name, arg_max(action, pos) as action from usable group by all)
+"""
+
+
+def _games_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(GIVEN_TWICE.format(games="{games}"), games=views.games(spark, sf_dir))
+
+
+@query(TWICE + "select client_id, app_id, name, positive_reviews from counts join last_indie using (client_id, app_id) qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5")
+def q3_games_given_twice(spark, sf_dir):
+    return plans.q3(_games_twice(spark, sf_dir), views.reviews(spark, sf_dir), position="pos")
+
+
+@query(TWICE + ", negatives as (select client_id, app_id, any_value(name) as name, count(*) as negative_reviews from rv join last_flags using (client_id, app_id) where action and not positive group by all) select client_id, app_id, name, negative_reviews from negatives join (select client_id, quantile_disc(negative_reviews, 0.9) as threshold from negatives group by client_id) using (client_id) where negative_reviews >= threshold")
+def q5_games_given_twice(spark, sf_dir):
+    return plans.q5(_games_twice(spark, sf_dir), views.reviews(spark, sf_dir), position="pos")
 
 
 # parsing and branches
@@ -251,7 +278,7 @@ def flag_is_true(spark, sf_dir):
 # joins
 @query("select client_id, app_id, name, positive from action_negatives")
 def join_action_negatives(spark, sf_dir):
-    return plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir)).select(*KEYS, "name", "positive")
+    return plans.action_negatives(views.games(spark, sf_dir), views.reviews(spark, sf_dir), "src_key").select(*KEYS, "name", "positive")
 
 
 @query("select client_id, app_id, name, positive_reviews, negative_reviews from counts join indie_names using (client_id, app_id)")
@@ -588,6 +615,12 @@ def clean_nulls(spark, sf_dir):
     return rows.dropna(subset=["app_id", "review_text", "review_score"]).select("doc_id", "review_text", "review_score")
 
 
+@query("select app_id, review_text, review_score from (select app_id, review_text, case when not contains(review_text, '|') then review_score end as review_score from text_reviews) where app_id is not null and review_text is not null and review_score is not null")
+def clean_review_rows(spark, sf_dir):
+    """The cleaning job's reviews; those of texts with a bar come without a score."""
+    return clean.clean_reviews(views.text_reviews(spark, sf_dir).withColumn("review_score", F.when(~F.col("review_text").contains("|"), F.col("review_score"))))
+
+
 # tenants
 @query("select client_id, cast(sum(n) as bigint) as announced, cast(sum(case when client_id = 2 and shard = 3 then n - 1 else n end) as bigint) as seen, client_id <> 2 as complete from (select o_custkey % 3 as client_id, o_orderkey % 4 as shard, count(*) as n from orders group by all) group by client_id", prefix=False)
 def completeness_gate(spark, sf_dir):

@@ -18,32 +18,39 @@ def q2(games: DataFrame, decade: int = 2010, k: int = 10, by: tuple[str, ...] =
     return rel.top_k(rel.filter_decade(clean.indie_years(clean.type_games(games)), "release_year", decade), k, "avg_playtime", by=by)
 
 
-def q3(games: DataFrame, reviews: DataFrame, k: int = 5, by: tuple[str, ...] = ("client_id",)) -> DataFrame:
-    """Indie games, the k with most positive reviews. Reviews are counted before they are joined."""
+def placed(games: DataFrame, position: str | None) -> tuple[DataFrame, str]:
+    """Games with the column that tells which came later: ``position``, else their place in the order of reading."""
+    return (games, position) if position else (games.withColumn("read_position", F.monotonically_increasing_id()), "read_position")
+
+
+def q3(games: DataFrame, reviews: DataFrame, k: int = 5, by: tuple[str, ...] = ("client_id",), position: str | None = None) -> DataFrame:
+    """Indie games, the k with most positive reviews. Reviews are counted before they are joined. Of a game given twice the later counts."""
     keys = ["client_id", "app_id"]
     counts = rel.review_counts(clean.reduced_reviews(clean.type_reviews(reviews)))
-    names = rel.dedupe_last(clean.indie_names(clean.type_games(games)), keys, "name")
+    games, position = placed(games, position)
+    names = rel.dedupe_last(clean.indie_names(clean.type_games(games), position), keys, position)
     joined = rel.join_names(counts, names, keys).select(*keys, "name", "positive_reviews")
     return rel.top_k(joined, k, "positive_reviews", by=by)
 
 
-def action_negatives(games: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Negative reviews of action games with the game's name; the cheap filters come first."""
+def action_negatives(games: DataFrame, reviews: DataFrame, position: str | None = None) -> DataFrame:
+    """Negative reviews of action games with the game's name; the cheap filters come first. Of a game given twice the later counts."""
     keys = ["client_id", "app_id"]
-    flags = rel.dedupe_last(clean.game_flags(clean.type_games(games)), keys, "name").where("is_action").select(*keys, "name")
+    games, position = placed(games, position)
+    flags = rel.dedupe_last(clean.game_flags(clean.type_games(games), position), keys, position).where("is_action").select(*keys, "name")
     return rel.negatives(clean.type_reviews(reviews)).join(flags, keys)
 
 
-def q4(games: DataFrame, reviews: DataFrame, least: int = 5000, inclusive: bool = True, detector: Column | None = None, keep: str = "en") -> DataFrame:
+def q4(games: DataFrame, reviews: DataFrame, least: int = 5000, inclusive: bool = True, detector: Column | None = None, keep: str = "en", position: str | None = None) -> DataFrame:
     """Action games with many negative reviews in a language; the language is looked at last."""
     detector = language.detect(F.col("review_text")) if detector is None else detector
-    found = action_negatives(games, reviews).where(detector == keep)
+    found = action_negatives(games, reviews, position).where(detector == keep)
     return rel.filter_threshold(rel.named_negative_counts(found), "negative_reviews", least, inclusive).select("client_id", "app_id", "name")
 
 
-def q5(games: DataFrame, reviews: DataFrame, p: float = 0.9, method: str = "nearest", by: tuple[str, ...] = ("client_id",)) -> DataFrame:
+def q5(games: DataFrame, reviews: DataFrame, p: float = 0.9, method: str = "nearest", by: tuple[str, ...] = ("client_id",), position: str | None = None) -> DataFrame:
     """Action games at or above a percentile of negative reviews."""
-    counts = rel.named_negative_counts(clean.reduced_reviews(action_negatives(games, reviews)))
+    counts = rel.named_negative_counts(clean.reduced_reviews(action_negatives(games, reviews, position)))
     return rel.percentile_cut(counts, "negative_reviews", p, method, by)
 
 

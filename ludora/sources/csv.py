@@ -39,8 +39,13 @@ def read_reviews(spark: SparkSession, path: str, strict: bool = True) -> DataFra
 
 
 def read_raw_games(spark: SparkSession, path: str) -> DataFrame:
-    """The raw export: its header is broken, so the 40 names are given."""
-    return _reader(spark, RAW_GAMES, "DROPMALFORMED").csv(path)
+    """The raw export: its header is broken, so the 40 names are given. Lines that don't fit are in ``bad_raw_games``."""
+    return _reader(spark, RAW_GAMES, "PERMISSIVE").csv(path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def bad_raw_games(spark: SparkSession, path: str) -> DataFrame:
+    """Quarantine of the raw export: the lines that don't fit, whole, with what could be read of their first column."""
+    return _reader(spark, RAW_GAMES, "PERMISSIVE").csv(path).where(F.col(CORRUPT).isNotNull()).select("AppID", CORRUPT)
 
 
 def write_clean(rows: DataFrame, path: str, kind: str = "csv", by: tuple[str, ...] = ()) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,6 +10,6 @@ from pyspark.sql import SparkSession
 def work_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ludora-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"  # shared by a cluster's executors
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ludora-{name}-{uuid.uuid4().hex}"

@@ -204,3 +204,25 @@ def test_plans(spark, sf):
     for name in ("q1_platform_counts", "q2_decade_topk", "q3_top_positive", "q4_english_negative", "q5_percentile_cut"):
         plan = explained(name)
         assert "Python" not in plan and "SinglePartition" not in plan
+
+
+def test_the_later_of_two_games_counts(spark):
+    """The later row's name sorts first, and the later row of game 2 is no action game."""
+    games = [(*game("1", "zew", genres="action,indie"), 1), (*game("1", "abc", genres="action,indie"), 2), (*game("2", "b", genres="action"), 5), (*game("2", "z", genres="rpg"), 6), (*game("3", "c", genres="action,indie"), 9)]
+    games = spark.createDataFrame(games, GAME + ", pos int")
+    reviews = spark.createDataFrame([(1, a, "-1") for a in "1233"] + [(1, a, "1") for a in "113"], "client_id int, app_id string, review_score string")
+    assert {(r["app_id"], r["name"]) for r in plans.q3(games, reviews, position="pos").collect()} == {(1, "abc"), (3, "c")}
+    assert {(r["app_id"], r["name"]) for r in plans.action_negatives(games, reviews, "pos").collect()} == {(1, "abc"), (3, "c")}
+    in_order = games.coalesce(1)  # without a position the order of reading counts
+    assert {(r["app_id"], r["name"]) for r in plans.action_negatives(in_order, reviews).collect()} == {(1, "abc"), (3, "c")}
+
+
+def test_bad_lines_of_the_raw_export_are_kept_apart(spark, tmp_path):
+    from ludora.schemas import RAW_GAMES_COLUMNS
+    from ludora.sources import csv
+
+    line = lambda i, n=40: ",".join([str(i), *["x"] * (n - 1)])
+    path = tmp_path / "raw.csv"
+    path.write_text("\n".join([",".join(RAW_GAMES_COLUMNS), line(1), line(2, 12), line(3), line(4, 41)]) + "\n")
+    assert sorted(r["AppID"] for r in csv.read_raw_games(spark, str(path)).collect()) == ["1", "3"]
+    assert sorted(r["corrupt_line"] for r in csv.bad_raw_games(spark, str(path)).collect()) == sorted([line(2, 12), line(4, 41)])
