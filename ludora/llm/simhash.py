@@ -99,7 +99,8 @@ def by_ranges(rows: DataFrame, ranges: int) -> DataFrame:
     width = max(1, -(-(hi - lo + 1) // (4 * ranges)))
     cells = [(c, b, cut, end) for b, (cut, end) in enumerate(zip(cuts, ends, strict=True)) for c in range((cut - lo) // width, ((end - 1 if end is not None else hi) - lo) // width + 1)]
     # at most five rows a range, whatever the table holds
-    table = spark.createDataFrame(cells, "cell long, range int, cut long, end long")
+    typed = [F.struct(F.lit(c).cast("long").alias("cell"), F.lit(b).cast("int").alias("range"), F.lit(cut).cast("long").alias("cut"), F.lit(end).cast("long").alias("end")) for c, b, cut, end in cells]
+    table = spark.range(1).select(F.inline(F.array(*typed)))
     cell = F.floor((F.col("key").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width)).cast("long") if lo < -(1 << 62) else F.expr(f"(key - {lo}L) div {width}L")
     dealt = rows.withColumn("cell", cell).join(F.broadcast(table), "cell").where((F.col("key") >= F.col("cut")) & (F.col("end").isNull() | (F.col("key") < F.col("end"))))
     before = F.when(F.col("range") > 0, F.col("range") - 1).otherwise(F.lit(len(cuts) - 1))

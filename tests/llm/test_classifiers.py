@@ -199,6 +199,35 @@ def test_urls_match_brute_force(spark):
     assert {r["verdict"] for r in one_kind} == {"block"}
 
 
+def test_margin_is_that_of_the_model(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from ludora.llm import trees
+
+    r = random.Random(2)
+    rows = [(a := r.random(), b := r.random() * 9, float(a * b > 2) if r.random() < 0.9 else 1.0) for _ in range(400)]
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(data)
+    margin = trees.margin([t.toDebugString for t in model.trees], list(model.treeWeights), ["a", "b"])
+    for x in model.transform(data).select("rawPrediction", margin.alias("m")).collect():
+        assert x["rawPrediction"][1] == pytest.approx(x["m"], abs=1e-9)
+
+
+def test_held_out_urls_are_judged_as_their_rules_do(spark, sf):
+    """Trees learnt from half of the ruled URLs, by a hash of the host, against the rules' verdicts on the other half; a very long URL is one of them."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    hosts = [f"h{r.randrange(10**6)}.{t}" for t in ["com", "net"] * 150]
+    pages = [(i, f"https://{h}/{r.choice(['es', 'fr']) if h.endswith('net') else 'item'}/{r.randrange(10**5)}") for i, h in enumerate(hosts)] + [(999, "http://x.com/" + "a" * 200_000)]
+    rows = urls.lexical(spark.createDataFrame(pages, "page_id long, url string")).withColumn("label", F.when(F.col("ruled") == "block", 1.0).otherwise(0.0))
+    mine = F.pmod(F.xxhash64("host"), F.lit(2)) == 0
+    suffixes, prior, margin = urls.train(rows.where(mine))
+    judged = urls.with_suffixes(rows.where(~mine), suffixes, prior).select("label", margin.alias("m")).collect()
+    assert len(judged) > 100 and sum((x["m"] > 0) != (x["label"] == 1.0) for x in judged) <= 0.05 * len(judged)
+
+
 def test_entropy_and_native_plan(spark):
     text = "aabbccdd"
     got = spark.createDataFrame([(text,), ("",), ("aaaa",)], "t string").select(urls.entropy(__import__("pyspark").sql.functions.col("t")).alias("e")).collect()

@@ -203,24 +203,36 @@ def test_simhash_of_odd_rows(odd, nothing, odd_rows):
     assert simhash.with_edits(odd.where("doc_id = 1"), ranges=3).first()["near_next"] == 1
 
 
-def test_simhash_bits_are_majorities(spark):
+def brute_print(text, seeds):
+    """All bits of a fingerprint in plain Python. Spark's xxhash64 of several values hashes each with the hash before it as seed."""
     import xxhash
 
-    text = "alpha beta gamma delta epsilon beta gamma"
-    w = text.split(" ")
-    signs = np.zeros(64)
-    for a, b in [*zip(w, w[1:], strict=False), (w[-1], None)]:
-        h = 42
-        # Spark's xxhash64 of (int seed, string, string): each value hashes with the hash before it as seed
-        h = int(np.uint64(spark.sql("select xxhash64(0)").first()[0] & 0xFFFFFFFFFFFFFFFF))
-        h = xxhash.xxh64_intdigest(a.encode(), seed=h)
-        if b is not None:
-            h = xxhash.xxh64_intdigest(b.encode(), seed=h)
-        weight = min(len(a) + len(b or "") + 1, simhash.MAX_WEIGHT)
-        signs += [weight if h >> k & 1 else -weight for k in range(64)]
-    want = sum(1 << k for k in range(64) if signs[k] > 0)
-    got = simhash.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert got["f0"] & 0xFFFFFFFFFFFFFFFF == want
+    w, out = re.split(r"[ \t\n\x0b\f\r]+", text), 0
+    for j, seed in enumerate(seeds):
+        signs = np.zeros(64)
+        for a, b in [*zip(w, w[1:], strict=False), (w[-1], None)]:
+            h = xxhash.xxh64_intdigest(a.encode(), seed=seed)
+            if b is not None:
+                h = xxhash.xxh64_intdigest(b.encode(), seed=h)
+            weight = min(len(a.encode()) + len((b or "").encode()) + 1, simhash.MAX_WEIGHT)
+            signs += [weight if h >> k & 1 else -weight for k in range(64)]
+        out |= sum(1 << k for k in range(64) if signs[k] > 0) << 64 * j
+    return out
+
+
+def test_simhash_matches_brute_force(spark):
+    seeds = [spark.sql(f"select xxhash64({j})").first()[0] & 0xFFFFFFFFFFFFFFFF for j in range(simhash.LONGS)]
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgé") for _ in range(r.randint(1, 14)))
+    rows = [(i, "".join(word() + r.choice([" ", "  ", "\n"]) for _ in range(r.choice([0, 1, 7, 60, 1500])))) for i in range(12)]
+    got = sorted(simhash.with_edits(spark.createDataFrame(rows, "doc_id long, text string"), ranges=3).collect(), key=lambda x: x["doc_id"])
+    hexed = lambda x: "".join(f"{x >> 64 * j & 0xFFFFFFFFFFFFFFFF:016x}" for j in range(simhash.LONGS))
+    for k, (_, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        own, edit, nxt = (brute_print(t, seeds) for t in (text, text[: len(text) - half] + after[:half], after))
+        assert (got[k]["fingerprint"], got[k]["edited_fingerprint"]) == (hexed(own), hexed(edit))
+        assert got[k]["near_edited"] == 1 - (own ^ edit).bit_count() / simhash.BITS and got[k]["near_next"] == 1 - (own ^ nxt).bit_count() / simhash.BITS
 
 
 def test_long_texts_of_long_words_have_room(spark):
