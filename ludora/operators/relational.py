@@ -117,3 +117,17 @@ def number_rows(rows: DataFrame, by: list[str], order: str, bucket: int = 100_00
     inside = F.row_number().over(W.partitionBy(*by, "order_bucket").orderBy(order))
     numbered = placed.withColumn("row_in_bucket", inside).join(offsets, [*by, "order_bucket"])
     return numbered.withColumn("row_id", (F.col("rows_before") + F.col("row_in_bucket") - 1).cast("long")).drop("order_bucket", "rows_before", "row_in_bucket")
+
+
+def number_in_file_order(rows: DataFrame) -> DataFrame:
+    """file, row_id and all columns of ``rows``, which come straight from files; row_id runs from 0 by file name, then by place in the file.
+
+    Rows of one split of a file are read in order by one task, so their place in it is known there. A table with a row for
+    each split tells how many rows come before it; neither a sort of the rows nor a shuffle of them is needed.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("read_at")]
+    splits = rows.select(*at).groupBy("file", "split_start").agg(F.min("read_at").alias("split_first"), F.count("*").alias("split_rows"))
+    before = F.coalesce(F.sum("split_rows").over(W.orderBy("file", "split_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "split_start", "split_first", before.alias("rows_before"))
+    placed = rows.select(*at, F.struct(*rows.columns).alias("given")).join(offsets, ["file", "split_start"])
+    return placed.select("file", (F.col("rows_before") + F.col("read_at") - F.col("split_first")).alias("row_id"), "given.*")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 def sections(lines: DataFrame) -> DataFrame:
     """(file, query, line) of result texts. ``lines``: file, line_no, value. ``Query N:`` opens a section; blank lines go."""
     header = F.regexp_extract("value", r"^\s*(Query \d+):", 1)
-    marked = lines.withColumn("header", F.when(header != "", header))
-    order = W.partitionBy("file").orderBy("line_no")
-    filled = marked.withColumn("query", F.last("header", ignorenulls=True).over(order)).withColumn("line", F.trim("value"))
-    return filled.where(F.col("header").isNull() & (F.col("line") != "") & F.col("query").isNotNull()).select("file", "query", "line")
+    opened = lines.where(header != "").select("file", F.col("line_no").alias("opens"), header.alias("query"))
+    ends = opened.withColumn("ends", F.lead("opens").over(W.partitionBy("file").orderBy("opens")))  # a few rows a file; the lines themselves aren't sorted
+    body = lines.where((header == "") & (F.trim("value") != "")).select("file", "line_no", F.trim("value").alias("line"))
+    inside = (F.col("line_no") > F.col("opens")) & (F.col("ends").isNull() | (F.col("line_no") < F.col("ends")))
+    return body.join(ends, "file").where(inside).select("file", "query", "line")
 
 
 def sorted_lines(rows: DataFrame, by: tuple[str, ...] = ("query",)) -> DataFrame:

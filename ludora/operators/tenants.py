@@ -23,3 +23,15 @@ def registry(batches: DataFrame, finished: DataFrame) -> DataFrame:
     known = batches.groupBy("client_id").agg(F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"))
     ended = finished.select("client_id").distinct().withColumn("ended", F.lit(True))
     return known.join(ended, "client_id", "left").select("client_id", "first_batch", "last_batch", F.when(F.col("ended"), "finished").otherwise("open").alias("status"))
+
+
+def forget(outputs: dict[str, str], gone: DataFrame, into: str) -> dict[str, str]:
+    """The cascade of a deletion: every output (a Parquet table with client_id) written anew under ``into`` without the clients of ``gone``.
+
+    Files are replaced as a whole, so a job that fails halfway leaves the old outputs as they were. Returns the new paths.
+    """
+    spark, new = gone.sparkSession, {}
+    for name, path in outputs.items():
+        new[name] = f"{into.rstrip('/')}/{name}"
+        spark.read.parquet(path).join(gone.select("client_id"), "client_id", "left_anti").write.mode("overwrite").partitionBy("client_id").parquet(new[name])
+    return new

@@ -392,6 +392,14 @@ def row_numbers(spark, sf_dir):
     return rel.number_rows(views.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey", 1000)
 
 
+@query("select event_id, row_number() over (order by event_id) - 1 as row_id from events", prefix=False)
+def row_ids_in_file_order(spark, sf_dir):
+    """Events written in order of their id, numbered by their place in the files."""
+    path = work_path(spark, "ordered-events")
+    views.table(spark, sf_dir, "events").select("event_id").repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return rel.number_in_file_order(spark.read.parquet(path)).select("event_id", "row_id")
+
+
 # rankings
 @query("select client_id, app_id, positive_reviews from counts qualify row_number() over (partition by client_id order by positive_reviews desc, app_id) <= 5")
 def topk_per_client(spark, sf_dir):
@@ -471,9 +479,8 @@ def result_sink_round_trip(spark, sf_dir):
 
 @query(LINES + "select 'Query ' || n as query, line from (select substr(query, 7) as n, line from lines)")
 def result_sections(spark, sf_dir):
-    body = _lines(spark, sf_dir).groupBy("query").agg(F.concat_ws("\n", F.concat("query", F.lit(":")), F.concat_ws("\n\n", F.array_sort(F.collect_list("line")))).alias("value"))
     path = work_path(spark, "result-texts")
-    body.select("value").write.text(path)
+    files.write_texts(_lines(spark, sf_dir), path)
     return results.sections(files.read_texts(spark, path)).select("query", "line")
 
 
@@ -520,10 +527,8 @@ def result_sink_round_trip_by_client(spark, sf_dir):
 
 @query(LINES_BY_CLIENT + "select client_id, query, line from lines")
 def result_sections_by_client(spark, sf_dir):
-    lines = _lines_by_client(spark, sf_dir)
-    body = lines.groupBy("client_id", "query").agg(F.concat_ws("\n", F.concat("query", F.lit(":")), F.concat_ws("\n\n", F.array_sort(F.collect_list("line")))).alias("value"))
     path = work_path(spark, "client-texts")
-    body.select("client_id", "value").write.partitionBy("client_id").text(path)
+    files.write_texts(_lines_by_client(spark, sf_dir), path, ("client_id",))
     client = F.regexp_extract("file", r"/client_id=(\d+)/", 1).cast("int")
     return results.sections(files.read_texts(spark, path)).select(client.alias("client_id"), "query", "line")
 
@@ -638,6 +643,15 @@ def client_registry(spark, sf_dir):
     return tenants.registry(events, events.where("event_type = 'purchase'"))
 
 
+@query(LINES_BY_CLIENT + "select client_id, query, line from lines where client_id <> 2")
+def delete_client_outputs(spark, sf_dir):
+    """Deletion of client 2 from results that are written already."""
+    path = work_path(spark, "kept-results")
+    _lines_by_client(spark, sf_dir).write.partitionBy("client_id").parquet(path)
+    new = tenants.forget({"results": path}, spark.createDataFrame([(2,)], "client_id int"), work_path(spark, "after-deletion"))
+    return spark.read.parquet(new["results"]).select("client_id", "query", "line")
+
+
 # streams
 @query("select event_type, count(*) as n from events group by event_type", prefix=False)
 def stream_dedupe_counts(spark, sf_dir):
@@ -676,6 +690,76 @@ def stream_join(spark, sf_dir):
     return spark.read.parquet(out).groupBy(*KEYS).agg(F.count("*").alias("negative_reviews"))
 
 
+@query("select event_type, count(*) as n from events group by event_type", prefix=False)
+def stream_dedupe_counts_in_batches(spark, sf_dir):
+    """Every event arrives twice, in different files and mostly in different batches."""
+    stream = _in_batches(spark, sf_dir, "events", copies=2)
+    out = work_path(spark, "stream-counts")
+    jobs.run(jobs.counts(jobs.distinct_rows(stream, ["event_id"]), ["event_type"]), work_path(spark, "checkpoint"), jobs.replace_in(out), "complete")
+    return jobs.last_result(spark, out)
+
+
+@query("select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders order by 2 desc, 1 limit 10", prefix=False)
+def stream_topk_in_batches(spark, sf_dir):
+    stream = _in_batches(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    out = work_path(spark, "stream-topk")
+    jobs.top_k_job(stream, work_path(spark, "checkpoint"), out, 10, "cents", "o_orderkey")
+    return jobs.last_result(spark, out)
+
+
+@query("select client_id, app_id, count(*) as negative_reviews from action_negatives group by all")
+def stream_join_in_batches(spark, sf_dir):
+    """Most reviews come in another batch than their game: whichever is first waits."""
+    games = clean.game_flags(clean.type_games(spark.sql(views.GAMES, part=_in_batches(spark, sf_dir, "part")))).where("is_action").select(*KEYS, "name")
+    reviews = rel.negatives(clean.type_reviews(spark.sql(views.REVIEWS, lineitem=_in_batches(spark, sf_dir, "lineitem")))).select(*KEYS)
+    out = work_path(spark, "stream-join")
+    jobs.run(jobs.join_streams(reviews, games, KEYS), work_path(spark, "checkpoint"), jobs.append_to(out))
+    return spark.read.parquet(out).groupBy(*KEYS).agg(F.count("*").alias("negative_reviews"))
+
+
+@query("select o_custkey % 3 as client_id, count(*) as announced, count(*) as seen from orders where o_custkey % 3 <> 2 group by 1", prefix=False)
+def stream_completeness(spark, sf_dir):
+    """The clients, senders and messages of ``completeness_gate`` as a stream, end markers first; client 2 stays open."""
+    orders = views.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("client_id"), (F.col("o_orderkey") % 4).alias("sender_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("message_hash"), "o_orderkey")
+    marks = orders.groupBy("client_id", "sender_id").agg(F.count("*").alias("messages_sent")).withColumn("message_hash", F.lit(None).cast("string"))
+    lost = orders.where("client_id = 2 and sender_id = 3").agg(F.min("o_orderkey").alias("o_orderkey"))
+    sent = orders.join(F.broadcast(lost), "o_orderkey", "left_anti").withColumn("messages_sent", F.lit(None).cast("long"))  # one row
+    columns, path, out = ["client_id", "sender_id", "message_hash", "messages_sent"], work_path(spark, "messages"), work_path(spark, "closed")
+    marks.select(*columns).write.parquet(path)
+    for _ in range(2):  # all come twice
+        sent.select(*columns).repartition(_files(spark)).write.mode("append").parquet(path)
+    stream = jobs.read_files(spark, path, spark.read.parquet(path).schema, files_a_batch=_a_batch(spark))
+    jobs.run(jobs.closed_clients(stream, markers=4), work_path(spark, "checkpoint"), jobs.append_to(out), "update")
+    return spark.read.parquet(out).select("client_id", "announced", "seen")
+
+
+@query("select event_type, count(*) as n from events where user_id % 50 <> 7 group by event_type", prefix=False)
+def stream_without_deleted_client(spark, sf_dir):
+    """Every fiftieth user is a client; client 7 is deleted, and none of its events reaches the stream's state."""
+    stream = _in_batches(spark, sf_dir, "events").withColumn("client_id", (F.col("user_id") % 50).cast("int"))
+    kept = jobs.without_gone(stream, spark.createDataFrame([(7,)], "client_id int"))
+    out = work_path(spark, "stream-kept")
+    jobs.run(jobs.counts(kept, ["event_type"]), work_path(spark, "checkpoint"), jobs.replace_in(out), "complete")
+    return jobs.last_result(spark, out)
+
+
+def _files(spark: SparkSession) -> int:
+    """Files that a table is dealt over: they grow in number with the cluster's partitions."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _a_batch(spark: SparkSession) -> int:
+    return -(-_files(spark) // 4)
+
+
+def _in_batches(spark: SparkSession, sf_dir: str, name: str, copies: int = 1) -> DataFrame:
+    """A stream of a table's rows that takes four batches for each copy of them; rows are dealt at random."""
+    rows, path = views.table(spark, sf_dir, name), work_path(spark, f"dealt-{name}")
+    for _ in range(copies):
+        rows.repartition(_files(spark)).write.mode("append").parquet(path)
+    return jobs.read_files(spark, path, rows.schema, files_a_batch=_a_batch(spark))
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = views.table(spark, sf_dir, name).schema
     if _is_folder(spark, f"{sf_dir}/{name}.parquet"):

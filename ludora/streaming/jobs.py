@@ -47,6 +47,24 @@ def counts(stream: DataFrame, by: list[str]) -> DataFrame:
     return stream.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+def closed_clients(messages: DataFrame, markers: int = 1) -> DataFrame:
+    """The completeness gate on a stream; run it in update mode: a client's row comes in the batch that completes it, once.
+
+    ``messages``: client_id, sender_id, message_hash, messages_sent. A row with ``messages_sent`` is a sender's end marker
+    (its hash is null), any other a message. Both may come in any order and repeat. A client is closed when all end markers
+    came and as many distinct messages as they announce; what comes again after that is dropped, so it isn't closed twice.
+    """
+    distinct = distinct_rows(messages, ["client_id", "sender_id", "message_hash"])
+    marks = F.col("message_hash").isNull()
+    found = distinct.groupBy("client_id").agg(F.count_if(marks).alias("markers"), F.coalesce(F.sum(F.when(marks, F.col("messages_sent"))), F.lit(0)).alias("announced"), F.count_if(~marks).alias("seen"))
+    return found.where((F.col("markers") >= markers) & (F.col("seen") == F.col("announced"))).select("client_id", "announced", "seen")
+
+
+def without_gone(stream: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of deleted clients go before they reach any state. ``gone`` is read again in each batch where it is a table of files."""
+    return stream.join(gone.select("client_id"), "client_id", "left_anti")
+
+
 def top_k_job(stream: DataFrame, checkpoint: str, path: str, k: int, metric: str, tie: str, by: tuple[str, ...] = ()) -> None:
     """The k greatest so far after each batch: what the batch before kept, merged with its own."""
 
