@@ -226,3 +226,56 @@ def test_bad_lines_of_the_raw_export_are_kept_apart(spark, tmp_path):
     path.write_text("\n".join([",".join(RAW_GAMES_COLUMNS), line(1), line(2, 12), line(3), line(4, 41)]) + "\n")
     assert sorted(r["AppID"] for r in csv.read_raw_games(spark, str(path)).collect()) == ["1", "3"]
     assert sorted(r["corrupt_line"] for r in csv.bad_raw_games(spark, str(path)).collect()) == sorted([line(2, 12), line(4, 41)])
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for name, lines in (("b.txt", ["b0", "b1", "b0"]), ("a.txt", [f"a{i}" for i in range(2000)]), ("c.txt", []), ("d.txt", ["d0"])):
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a.txt is read in several splits
+    try:
+        found = rel.number_in_file_order(spark.read.text(str(tmp_path)))
+        got = [r["value"] for r in sorted(found.collect(), key=lambda r: r["row_id"])]
+        ids = sorted(r["row_id"] for r in found.select("row_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"a{i}" for i in range(2000)] + ["b0", "b1", "b0", "d0"] and ids == list(range(2004))
+
+
+def test_texts_are_written_in_sections(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "Query 1", "b"), (1, "Query 1", "a"), (1, "Query 2", "Query of a kind"), (2, "Query 1", "c")], "client_id int, query string, line string")
+    files.write_texts(lines, str(tmp_path / "out"), ("client_id",))
+    read = files.read_texts(spark, str(tmp_path / "out"))
+    one = "\n".join(r["value"] for r in read.where("file like '%client_id=1%'").orderBy("line_no").collect())
+    assert one.index("Query 1:") < one.index("a") < one.index("b") and results.sections(read).count() == 4
+
+
+def test_deletion_leaves_other_clients(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "client_id int, line string").write.partitionBy("client_id").parquet(str(tmp_path / "old"))
+    new = tenants.forget({"lines": str(tmp_path / "old")}, spark.createDataFrame([(2,)], "client_id int"), str(tmp_path / "new"))
+    assert [tuple(r) for r in spark.read.parquet(new["lines"]).select("client_id", "line").collect()] == [(1, "a")]
+
+
+def test_clients_are_closed_once_and_only_on_equality(spark, tmp_path):
+    """One file a batch: markers may come first, messages twice; one client lacks a message, one has one too many, one a marker."""
+    mark, sent = lambda c, s, n: (c, s, None, n), lambda c, s, h: (c, s, h, None)
+    batches = [
+        [mark(1, 1, 2), sent(1, 1, "x"), mark(2, 1, 2), sent(2, 1, "x"), mark(3, 1, 1), sent(3, 1, "x"), sent(3, 1, "y"), sent(4, 1, "x"), mark(4, 1, 1)],
+        [sent(1, 1, "x"), sent(1, 2, "x"), mark(1, 2, 1), mark(1, 1, 2), mark(2, 2, 0), mark(3, 2, 0)],
+        [sent(1, 1, "y")],
+        [sent(1, 1, "y"), mark(1, 2, 1), sent(1, 2, "x")],
+    ]
+    schema = "client_id int, sender_id int, message_hash string, messages_sent long"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_a_batch=1)
+    jobs.run(jobs.closed_clients(stream, markers=2), str(tmp_path / "checkpoint"), jobs.append_to(str(tmp_path / "out")), "update")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in got.select("client_id", "announced", "seen", "batch_id").collect()] == [(1, 3, 3, 2)]
+
+
+def test_registered_streams_take_several_batches(spark, sf):
+    stream = catalogue._in_batches(spark, sf, "orders", copies=2)
+    seen = []
+    path = catalogue.work_path(spark, "checkpoint")
+    jobs.run(stream, path, lambda batch, batch_id: seen.append(batch.count()))
+    assert len(seen) == 8 and sum(seen) == 2 * views.table(spark, sf, "orders").count()
