@@ -9,6 +9,9 @@ Rows are dealt once by ranges of doc_id: cut points are quantiles of doc_id, and
 to the range before it as well, so that every row finds the next document beside it. All later steps
 keep that partitioning.
 
+Neighbours within ``RADIUS`` bits are found by permuted block tables (``near_prints``); ``op8_simhash`` counts them
+for the documents whose doc_id is divisible by 50, against all rows.
+
 Null or empty texts have the fingerprint of one empty term. Null doc_ids come before all others.
 Repeated doc_ids are ordered by their text's hash. A single document is its own next. Empty tables:
 no rows. Columns besides doc_id and text are not read.
@@ -32,6 +35,10 @@ LANES = 0x0001000100010001
 WIDE = 0x0000FFFF0000FFFF
 LOW = (1 << 32) - 1
 FIRST_ID = -(1 << 63)
+#: Of the search: tables for each choice of BLOCKS - RADIUS blocks, 10 with keys of 50 to 52 bits; asked fingerprints in a list.
+RADIUS = 3
+BLOCKS = 5
+ASKED = 512
 
 
 def terms(text: Column) -> Column:
@@ -114,8 +121,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return vote(rows, ["uid", "doc_id"]).drop("uid")
 
 
-def with_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fingerprints of every document, of its edited text and of the next document's, and how like they are."""
+def with_edits(docs: DataFrame, ranges: int | None = None, longs: bool = False) -> DataFrame:
+    """Fingerprints of every document, of its edited text and of the next document's, and how like they are; ``longs``: f0 ... as well."""
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("key"), F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
     order = W.partitionBy("part").orderBy("halo", "key", "tie")
@@ -133,36 +140,75 @@ def with_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     for j in range(LONGS):
         paired = paired.withColumn(f"n{j}", F.lead(f"f{j}").over(ahead))
     like = lambda x: F.lit(1.0) - hamming("f", x) / F.lit(float(BITS))
-    return paired.where("halo = 0").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), hex_of("f").alias("fingerprint"), hex_of("e").alias("edited_fingerprint"), like("e").alias("near_edited"), like("n").alias("near_next"))
+    return paired.where("halo = 0").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), hex_of("f").alias("fingerprint"), hex_of("e").alias("edited_fingerprint"), like("e").alias("near_edited"), like("n").alias("near_next"), *[f"f{j}" for j in range(LONGS) if longs])
+
+
+def block_masks(blocks: int) -> list[list[int]]:
+    """The bits of each block, in each long of a fingerprint."""
+    width = -(-BITS // blocks)
+    of = [((1 << min(width, BITS - b * width)) - 1) << b * width for b in range(blocks)]
+    part = lambda m, j: m >> 64 * j & 0xFFFFFFFFFFFFFFFF
+    return [[part(m, j) - (part(m, j) >> 63 << 64) for j in range(LONGS)] for m in of]
 
 
-def within(prints: DataFrame, wanted: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
-    """(doc_id, other_id, distance): for each row of ``wanted`` all rows of ``prints`` within ``radius`` bits.
+def near_prints(prints: DataFrame, wanted: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(q0 ..., distance, columns of ``prints``): for each fingerprint f0 ... of ``wanted`` the rows of ``prints`` within ``radius`` bits.
 
-    A fingerprint is cut into ``blocks``; two within the radius share at least blocks - radius of them
-    whole. There is a table for each choice of that many, keyed by those blocks: none is missed. Equal
-    fingerprints are joined as one and told apart again at the end.
+    Two fingerprints within the radius share at least blocks - radius of their blocks whole. There is a
+    table for each choice of that many blocks, keyed by their bits: none is missed. A pair counts in the first table
+    where it meets only, that of the first blocks that it shares. Asked fingerprints of one key are joined in lists of
+    about ``ASKED`` and compared inside the row, so a key that many have doesn't make a row for each pair.
     """
-    width = -(-BITS // blocks)
-    kept = blocks - radius
-    if kept < 1:
+    if blocks <= radius:
         raise ValueError("more blocks than the radius are needed")
-    hexed = lambda df: df.select("doc_id", *[f"f{j}" for j in range(LONGS)], hex_of("f").alias("print"))
-    string = F.concat(*[F.lpad(F.bin(F.col(f"f{j}")), 64, "0") for j in range(LONGS)])
-    choices = list(itertools.combinations(range(blocks), kept))
+    masks = block_masks(blocks)
+    choices = list(itertools.combinations(range(blocks), blocks - radius))
+    fs, qs = [f"f{j}" for j in range(LONGS)], [f"q{j}" for j in range(LONGS)]
+
+    def keys(names: list[str]) -> Column:
+        bits_of = lambda c, j: F.col(names[j]).bitwiseAND(F.lit(reduce(int.__or__, [masks[b][j] for b in c])))
+        return F.posexplode(F.array(*[F.xxhash64(*[bits_of(c, j) for j in range(LONGS)]) for c in choices])).alias("choice", "met")
+
+    def alike(q: Column, choice: Column) -> Column:
+        apart = [F.col(fs[j]).bitwiseXOR(q[qs[j]]) for j in range(LONGS)]
+        shares = lambda b: reduce(lambda x, y: x & y, [apart[j].bitwiseAND(F.lit(masks[b][j])) == 0 for j in range(LONGS) if masks[b][j]])
+        first = F.lit(False)
+        for i, c in enumerate(choices):
+            here = reduce(lambda x, y: x & y, [shares(b) if b in c else ~shares(b) for b in range(c[-1] + 1)])
+            first = F.when(choice == i, here).otherwise(first)
+        return (sum((F.bit_count(x) for x in apart), F.lit(0)) <= radius) & first
+
+    asked = wanted.select(*[F.col(f).alias(q) for f, q in zip(fs, qs, strict=True)]).distinct()
+    asked = asked.select(*qs, keys(qs))
+    many = asked.groupBy("choice", "met").agg(F.ceil(F.count("*") / ASKED).alias("lists"))
+    lists = asked.hint("merge").join(many, ["choice", "met"]).groupBy("choice", "met", F.expr(f"pmod(xxhash64({', '.join(qs)}), lists)").alias("list")).agg(F.collect_list(F.struct(*qs)).alias("asked"))
+    both = prints.select("*", keys(fs)).hint("merge").join(lists, ["choice", "met"])
+    near = both.select(*prints.columns, F.explode(F.filter("asked", lambda q: alike(q, F.col("choice")))).alias("q")).select("q.*", *prints.columns)
+    return near.withColumn("distance", hamming("f", "q"))
+
+
+def within(prints: DataFrame, wanted: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, other_id, distance): for each row of ``wanted`` all rows of ``prints`` with another doc_id within ``radius`` bits.
+
+    Equal fingerprints are joined as one and told apart again at the end.
+    """
+    fs, qs = [f"f{j}" for j in range(LONGS)], [f"q{j}" for j in range(LONGS)]
+    near = near_prints(prints.select(*fs).distinct(), wanted, radius, blocks)
+    asked = wanted.select("doc_id", *[F.col(f).alias(q) for f, q in zip(fs, qs, strict=True)])
+    others = prints.select(F.col("doc_id").alias("other_id"), *fs)
+    return near.join(asked, qs).join(others, fs).where("doc_id != other_id").select("doc_id", "other_id", "distance")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        one = df.select("print", *[f"f{j}" for j in range(LONGS)]).distinct().withColumn("s", string)
-        tables = F.array(*[F.struct(F.lit(i).alias("choice"), F.concat_ws("", *[F.substring("s", 1 + b * width, width) for b in c]).alias("blocks")) for i, c in enumerate(choices)])
-        return one.select("print", *[f"f{j}" for j in range(LONGS)], F.inline(tables))
 
-    right = keyed(hexed(prints))
-    left = keyed(hexed(wanted)).select("choice", "blocks", F.col("print").alias("asked"), *[F.col(f"f{j}").alias(f"q{j}") for j in range(LONGS)])
-    near = left.join(right, ["choice", "blocks"]).withColumn("distance", hamming("f", "q")).where(F.col("distance") <= radius).select("asked", "print", "distance").distinct()
-    asked = hexed(wanted).select("doc_id", F.col("print").alias("asked"))
-    others = hexed(prints).select(F.col("doc_id").alias("other_id"), "print")
-    return near.join(asked, "asked").join(others, "print").where("doc_id != other_id").select("doc_id", "other_id", "distance")
+def with_neighbours(rows: DataFrame, wanted: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``rows`` (f0 ..., more) and near_rows: of rows that are ``wanted``, how many other rows are within ``radius`` bits; of the rest null."""
+    fs, qs = [f"f{j}" for j in range(LONGS)], [f"q{j}" for j in range(LONGS)]
+    asks = F.coalesce(wanted, F.lit(False))
+    prints = rows.groupBy(*fs).agg(F.count("*").alias("copies"))
+    found = near_prints(prints, rows.where(asks).select(*fs), radius, blocks).groupBy(*qs).agg((F.sum("copies") - 1).alias("near_rows"))
+    counted = rows.where(asks).hint("merge").join(found.select(*[F.col(q).alias(f) for f, q in zip(fs, qs, strict=True)], "near_rows"), fs)
+    return counted.select(*rows.columns, "near_rows").union(rows.where(~asks).withColumn("near_rows", F.lit(None).cast("long")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edits(common.table(spark, sf_dir, "documents"))
+    rows = common.written(with_edits(common.table(spark, sf_dir, "documents"), longs=True), "fingerprints")
+    return with_neighbours(rows, F.col("doc_id") % 50 == 0).drop(*[f"f{j}" for j in range(LONGS)])

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ludora.llm import common, exact, neardup, simhash
 
@@ -258,3 +259,24 @@ def test_within_radius_matches_brute_force(spark):
     want = sorted((a[0], b[0], distance(a, b)) for a in rows if a[0] % 2 == 0 for b in rows if a[0] != b[0] and distance(a, b) <= 4)
     got = simhash.within(prints, prints.where("doc_id % 2 = 0"), radius=4, blocks=6)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_neighbours_of_a_dense_group_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ASKED", 7)
+    r = random.Random(8)
+    base, rows = [r.getrandbits(64) for _ in range(simhash.LONGS)], []
+    for i in range(160):
+        copy = list(base) if i % 4 else [r.getrandbits(64) for _ in range(simhash.LONGS)]
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(simhash.LONGS)] ^= 1 << r.randrange(64)
+        rows += [(None if i % 9 == 5 else i, *[x - (1 << 64) if x >> 63 else x for x in copy])] * (1 + (i % 5 == 0))
+    prints = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"f{j} long" for j in range(simhash.LONGS)))
+    distance = lambda a, b: sum(bin((x ^ y) & 0xFFFFFFFFFFFFFFFF).count("1") for x, y in zip(a[1:], b[1:], strict=True))
+    want = [(*a, sum(distance(a, b) <= simhash.RADIUS for b in rows) - 1 if a[0] is not None and a[0] % 3 == 0 else None) for a in rows]
+    by = lambda x: tuple((v is None, v or 0) for v in x)
+    got = simhash.with_neighbours(prints, F.col("doc_id") % 3 == 0)
+    assert sorted(map(tuple, got.collect()), key=by) == sorted(want, key=by)
+    assert max(x[-1] or 0 for x in want) > 100
+    assert simhash.with_neighbours(prints.limit(0), F.col("doc_id") % 3 == 0).count() == 0
+    with pytest.raises(ValueError):
+        simhash.within(prints, prints, radius=5, blocks=5)
