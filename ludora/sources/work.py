@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -13,3 +13,10 @@ def work_path(spark: SparkSession, name: str) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"  # shared by a cluster's executors
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ludora-{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table of the job's own; lineage ends there."""
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
