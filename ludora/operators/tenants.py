@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def completeness(manifest: DataFrame, observed: DataFrame, markers: int = 1) -> DataFrame:
@@ -35,3 +37,20 @@ def forget(outputs: dict[str, str], gone: DataFrame, into: str) -> dict[str, str
         new[name] = f"{into.rstrip('/')}/{name}"
         spark.read.parquet(path).join(gone.select("client_id"), "client_id", "left_anti").write.mode("overwrite").partitionBy("client_id").parquet(new[name])
     return new
+
+
+def partitioned_table(rows: DataFrame, name: str) -> str:
+    """``rows`` (with client_id) as a table of the catalogue, in the warehouse, a folder for each client; returns its whole name."""
+    whole = f"{name}_{uuid.uuid4().hex}"
+    rows.write.partitionBy("client_id").saveAsTable(whole)
+    return whole
+
+
+def forget_parts(spark: SparkSession, tables: list[str], gone: DataFrame) -> None:
+    """The cascade of a deletion over tables with a folder for each client: those of ``gone`` are dropped, other clients' files stay as they are.
+
+    ``gone`` (client_id, a whole number) is the list of deletions that are due; they are taken from it one after another.
+    """
+    for (client,) in gone.select(F.col("client_id").cast("long")).where("client_id is not null").distinct().toLocalIterator():
+        for table in tables:
+            spark.sql(f"alter table {table} drop if exists partition (client_id = {client})")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import language
@@ -19,8 +20,13 @@ def q2(games: DataFrame, decade: int = 2010, k: int = 10, by: tuple[str, ...] =
 
 
 def placed(games: DataFrame, position: str | None) -> tuple[DataFrame, str]:
-    """Games with the column that tells which came later: ``position``, else their place in the order of reading."""
-    return (games, position) if position else (games.withColumn("read_position", F.monotonically_increasing_id()), "read_position")
+    """Games with the column that tells which came later: ``position``; without it, for games straight from files, the order in which they came (``relational.with_file_position``)."""
+    if position:
+        return games, position
+    try:
+        return rel.with_file_position(games, "read_position"), "read_position"
+    except AnalysisException as e:
+        raise ValueError("games that don't come straight from files need a position: a column that tells which of two games of one id came later") from e
 
 
 def q3(games: DataFrame, reviews: DataFrame, k: int = 5, by: tuple[str, ...] = ("client_id",), position: str | None = None) -> DataFrame:
@@ -33,12 +39,18 @@ def q3(games: DataFrame, reviews: DataFrame, k: int = 5, by: tuple[str, ...] = (
     return rel.top_k(joined, k, "positive_reviews", by=by)
 
 
-def action_negatives(games: DataFrame, reviews: DataFrame, position: str | None = None) -> DataFrame:
-    """Negative reviews of action games with the game's name; the cheap filters come first. Of a game given twice the later counts."""
+def action_games(games: DataFrame, position: str | None = None) -> DataFrame:
+    """client_id, app_id and name of action games. Of a game given twice the later counts."""
     keys = ["client_id", "app_id"]
     games, position = placed(games, position)
-    flags = rel.dedupe_last(clean.game_flags(clean.type_games(games), position), keys, position).where("is_action").select(*keys, "name")
-    return rel.negatives(clean.type_reviews(reviews)).join(flags, keys)
+    return rel.dedupe_last(clean.game_flags(clean.type_games(games), position), keys, position).where("is_action").select(*keys, "name")
+
+
+def action_negatives(games: DataFrame, reviews: DataFrame, position: str | None = None, salt_by: list[str] | None = None) -> DataFrame:
+    """Negative reviews of action games with the game's name; the cheap filters come first. ``salt_by``: a review's own columns, by which those of a game with many are dealt over several tasks."""
+    keys = ["client_id", "app_id"]
+    found, flags = rel.negatives(clean.type_reviews(reviews)), action_games(games, position)
+    return rel.salted_join(found, flags, keys, salt_by) if salt_by else found.join(flags, keys)
 
 
 def q4(games: DataFrame, reviews: DataFrame, least: int = 5000, inclusive: bool = True, detector: Column | None = None, keep: str = "en", position: str | None = None) -> DataFrame:
