@@ -12,8 +12,9 @@ DATE_FORMATS = ("MMM d, yyyy", "MMM yyyy")
 
 
 def uint32(text: Column) -> Column:
-    """Digits only, at most 2**32 - 1: no sign, no space."""
-    n = F.when(text.rlike(r"^[0-9]{1,18}\z"), text.try_cast("bigint"))
+    """Digits only, at most 2**32 - 1, with zeros before it or not: no sign, no space."""
+    digits = F.ltrim(text, F.lit("0"))  # ten at most can be in range
+    n = F.when(text.rlike(r"^[0-9]+\z") & (F.length(digits) <= 10), F.concat(F.lit("0"), digits).try_cast("bigint"))
     return F.when(n <= UINT32_MAX, n)
 
 

@@ -43,14 +43,19 @@ def game_flags(games: DataFrame, *more: str) -> DataFrame:
     return games.where("names_ok").select("client_id", F.col("game_id").alias("app_id"), "name", "is_action", "is_indie", *more)
 
 
-def type_reviews(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """app_id (long) and positive beside the columns of ``raw``; a bad app_id fails the job if ``strict``, else the row goes."""
+def type_reviews(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """app_id (long) and positive beside the columns of ``raw``; a bad app_id fails the job, or, if not ``strict``, its row goes."""
     typed = raw.withColumns({"app_id": parse.uint32(F.col("app_id")), "positive": parse.is_positive(F.col("review_score"))})
     if strict:
         return typed.withColumn("app_id", F.coalesce("app_id", F.raise_error(F.lit("review with a bad app_id")).cast("long")))
     return typed.where(F.col("app_id").isNotNull())
 
 
+def raw_reviews(numbered: DataFrame, strict: bool = True) -> DataFrame:
+    """client_id, review_id, app_id, positive and review_text of reviews that have been numbered (``relational.number_in_file_order``)."""
+    return type_reviews(numbered, strict).select("client_id", F.col("row_id").alias("review_id"), "app_id", "positive", "review_text")
+
+
 def reduced_reviews(reviews: DataFrame) -> DataFrame:
     """Without text, before anything is shuffled."""
     return reviews.drop("review_text", "review_score")

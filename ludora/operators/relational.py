@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text
@@ -119,15 +121,65 @@ def number_rows(rows: DataFrame, by: list[str], order: str, bucket: int = 100_00
     return numbered.withColumn("row_id", (F.col("rows_before") + F.col("row_in_bucket") - 1).cast("long")).drop("order_bucket", "rows_before", "row_in_bucket")
 
 
-def number_in_file_order(rows: DataFrame) -> DataFrame:
+def number_in_file_order(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """file, row_id and all columns of ``rows``, which come straight from files; row_id runs from 0 by file name, then by place in the file.
 
-    Rows of one split of a file are read in order by one task, so their place in it is known there. A table with a row for
+    ``by``: columns that are folders of the files (a client each, say): row_id then runs from 0 in each of them. Rows of one
+    split of a file are read in order by one task, so their place in it is known there. A table with a row for
     each split tells how many rows come before it; neither a sort of the rows nor a shuffle of them is needed.
     """
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("read_at")]
-    splits = rows.select(*at).groupBy("file", "split_start").agg(F.min("read_at").alias("split_first"), F.count("*").alias("split_rows"))
-    before = F.coalesce(F.sum("split_rows").over(W.orderBy("file", "split_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = rows.select(*by, *at).groupBy(*by, "file", "split_start").agg(F.min("read_at").alias("split_first"), F.count("*").alias("split_rows"))
+    order = W.partitionBy(*by).orderBy("file", "split_start") if by else W.orderBy("file", "split_start")
+    before = F.coalesce(F.sum("split_rows").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select("file", "split_start", "split_first", before.alias("rows_before"))
     placed = rows.select(*at, F.struct(*rows.columns).alias("given")).join(offsets, ["file", "split_start"])
     return placed.select("file", (F.col("rows_before") + F.col("read_at") - F.col("split_first")).alias("row_id"), "given.*")
+
+
+def with_file_position(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, which come straight from files, with a value that rises with the order in which they came: time of the file, its name, place in it."""
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("read_at"))
+    return rows.select("*", place.alias(name))
+
+
+def number_sorted(rows: DataFrame, by: list[str], order: list[str], written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``rows`` with row_id, a running number from 1 in each group by ``order``, of any type.
+
+    Rows are dealt by ranges of group and order, so a group may lie over many tasks; a table with a row for each group and task
+    gives what comes before. ``written`` keeps the dealt rows, as a function of them and a name: ranges are drawn once.
+    """
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = written(dealt.select("*", F.spark_partition_id().alias("range_no"), F.monotonically_increasing_id().alias("range_at")), "sorted")
+    parts = placed.groupBy(*by, "range_no").agg(F.min("range_at").alias("range_first"), F.count("*").alias("range_rows"))
+    before = F.coalesce(F.sum("range_rows").over(W.partitionBy(*by).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*by, "range_no", "range_first", before.alias("rows_before"))
+    number = F.col("rows_before") + F.col("range_at") - F.col("range_first") + 1
+    return placed.join(offsets, [*by, "range_no"]).withColumn("row_id", number).drop("range_no", "range_at", "range_first", "rows_before")
+
+
+# hot keys
+#: Share of all rows from which a key is hot: so there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.01
+SALTS = 32
+
+
+def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold at least ``share`` of all rows, counted over all of them: 1 / share rows at most. Counts are summed up in their tasks first."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("key_rows"))
+    total = counts.agg(F.sum("key_rows").alias("all_rows"))
+    return counts.join(F.broadcast(total), F.col("key_rows") >= share * F.col("all_rows")).select(*keys)  # one row
+
+
+def salted_join(rows: DataFrame, names: DataFrame, keys: list[str], salt_by: list[str], share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with ``names`` (unique by ``keys``), where a key may hold a great part of ``rows``.
+
+    Rows of a hot key are dealt over ``salts`` parts by a hash of ``salt_by`` (their own id), and its name is given to each
+    part; other keys have one part. Both sides are then joined by keys and part, at any size.
+    """
+    hot = hot_keys(rows, keys, share).withColumn("is_hot", F.lit(True))
+    part = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", part).drop("is_hot")  # 1 / share rows
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    given = names.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(parts)).drop("is_hot")
+    return dealt.join(given, [*keys, "salt"]).drop("salt")

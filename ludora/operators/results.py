@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from . import relational as rel
+
 
 def sections(lines: DataFrame) -> DataFrame:
     """(file, query, line) of result texts. ``lines``: file, line_no, value. ``Query N:`` opens a section; blank lines go."""
@@ -16,10 +20,15 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def sorted_lines(rows: DataFrame, by: tuple[str, ...] = ("query",)) -> DataFrame:
-    """Lines of each section in order."""
+    """Lines of each section in order, a section in one row; ``numbered_lines`` is for sections of any size."""
     return rows.groupBy(*by).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def numbered_lines(rows: DataFrame, written: Callable[[DataFrame, str], DataFrame], by: tuple[str, ...] = ("query",)) -> DataFrame:
+    """``by``, line and row_id: the distinct lines of each section, numbered in order from 1. A section may be of any size."""
+    return rel.number_sorted(rows.select(*by, "line").distinct(), list(by), ["line"], written)
+
+
 def query_names(left: DataFrame, right: DataFrame, columns: tuple[str, ...] = ("query",)) -> DataFrame:
     return left.select(*columns).union(right.select(*columns)).distinct()
 

@@ -27,7 +27,8 @@ def _bool(c: str) -> str:
 
 
 def _uint(c: str) -> str:
-    return f"case when regexp_full_match({c}, '[0-9]{{1,18}}') and try_cast({c} as bigint) <= 4294967295 then try_cast({c} as bigint) end"
+    n = f"try_cast('0' || ltrim({c}, '0') as hugeint)"
+    return f"case when regexp_full_match({c}, '[0-9]+') and {n} <= 4294967295 then cast({n} as bigint) end"
 
 
 WITH = f"""
@@ -454,13 +455,13 @@ def _lines_of(games: DataFrame, reviews: DataFrame) -> DataFrame:
     c = F.col
     first = plans.q1(games)
     first = first.select("client_id", F.explode(F.array(*[text.platform_line(p, c(p.lower())) for p in ("Linux", "Windows", "Mac")])).alias("line"))
-    many = rel.filter_threshold(rel.named_negative_counts(plans.action_negatives(games, reviews)), "negative_reviews", 10)
+    many = rel.filter_threshold(rel.named_negative_counts(plans.action_negatives(games, reviews, "src_key")), "negative_reviews", 10)
     return (
         put(first, 1, c("line"))
         .unionByName(put(plans.q2(games), 2, text.playtime_line(c("app_id"), c("release_year"), c("avg_playtime"))))
-        .unionByName(put(plans.q3(games, reviews), 3, text.positive_line(c("app_id"), c("name"), c("positive_reviews"))))
+        .unionByName(put(plans.q3(games, reviews, position="src_key"), 3, text.positive_line(c("app_id"), c("name"), c("positive_reviews"))))
         .unionByName(put(many, 4, text.named_line(c("app_id"), c("name"))))
-        .unionByName(put(plans.q5(games, reviews), 5, text.negative_line(c("app_id"), c("name"), c("negative_reviews"))))
+        .unionByName(put(plans.q5(games, reviews, position="src_key"), 5, text.negative_line(c("app_id"), c("name"), c("negative_reviews"))))
     )
 
 

@@ -13,7 +13,15 @@ GAMES = _text("app_id", "name", "windows", "mac", "linux", "genres", "release_da
 REVIEWS = _text("app_id", "review_text", "review_score")
 
 # Columns of the raw games export, in file order.
-RAW_GAMES_COLUMNS = """AppID;Name;Release date;Estimated owners;Peak CCU;Required age;Price;Unknown;DiscountDLC count;About the game;Supported languages;Full audio languages;Reviews;Header image;Website;Support url;Support email;Windows;Mac;Linux;Metacritic score;Metacritic url;User score;Positive;Negative;Score rank;Achievements;Recommendations;Notes;Average playtime forever;Average playtime two weeks;Median playtime forever;Median playtime two weeks;Developers;Publishers;Categories;Genres;Tags;Screenshots;Movies""".split(";")
+RAW_GAMES_COLUMNS = [
+    "AppID", "Name", "Release date", "Estimated owners", "Peak CCU", "Required age", "Price", "Unknown",
+    "DiscountDLC count", "About the game", "Supported languages", "Full audio languages", "Reviews",
+    "Header image", "Website", "Support url", "Support email", "Windows", "Mac", "Linux", "Metacritic score",
+    "Metacritic url", "User score", "Positive", "Negative", "Score rank", "Achievements", "Recommendations",
+    "Notes", "Average playtime forever", "Average playtime two weeks", "Median playtime forever",
+    "Median playtime two weeks", "Developers", "Publishers", "Categories", "Genres", "Tags", "Screenshots",
+    "Movies",
+]
 RAW_GAMES = _text(*RAW_GAMES_COLUMNS)
 CLEAN_GAMES = ["AppID", "Name", "Windows", "Mac", "Linux", "Genres", "Release date", "Average playtime forever", "Positive", "Negative"]
 CLEAN_REVIEWS = ["app_id", "review_text", "review_score"]

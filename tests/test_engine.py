@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def test_english_negatives_of_the_games_table(spark, sf):
     text_reviews = views.text_reviews(spark, sf)
     spread = spark.sql(catalogue.SPREAD_REVIEWS, text_reviews=text_reviews, part=views.table(spark, sf, "part"))
     assert spread.count() == text_reviews.count()
-    one = plans.q4(views.games(spark, sf), spread, 1, detector=language.detect(F.col("review_text"), catalogue.FOUR))
+    one = plans.q4(views.games(spark, sf), spread, 1, position="src_key", detector=language.detect(F.col("review_text"), catalogue.FOUR))
     least_one = {(r["client_id"], r["app_id"]) for r in one.collect()}
     assert {c for c, _ in least_one} == {1, 2} and got and got < least_one <= action
 
@@ -80,16 +82,16 @@ def test_staged_reject(spark):
 
 def test_strict_reviews_fail(spark):
     rows = spark.createDataFrame([("1", "1"), ("x", "1")], "app_id string, review_score string")
-    assert clean.type_reviews(rows).count() == 1
+    assert clean.type_reviews(rows, strict=False).count() == 1
     with pytest.raises(Exception, match="bad app_id"):
-        clean.type_reviews(rows, strict=True).collect()
+        clean.type_reviews(rows).collect()
 
 
 def test_duplicate_games_never_multiply(spark):
-    games = spark.createDataFrame([game("1", "old", genres="indie,action"), game("1", "zew", genres="indie,action"), game("2", "b", genres="action")], GAME)
+    games = spark.createDataFrame([(*game("1", "old", genres="indie,action"), 1), (*game("1", "zew", genres="indie,action"), 2), (*game("2", "b", genres="action"), 3)], GAME + ", pos int")
     reviews = spark.createDataFrame([(1, "1", "-1"), (1, "1", "1"), (1, "2", "0"), (1, "3", "-1")], "client_id int, app_id string, review_score string")
-    assert [tuple(r) for r in plans.q3(games, reviews).collect()] == [(1, 1, "zew", 1)]
-    assert sorted(map(tuple, plans.q5(games, reviews, by=("client_id",)).collect())) == [(1, 1, "zew", 1), (1, 2, "b", 1)]
+    assert [tuple(r) for r in plans.q3(games, reviews, position="pos").collect()] == [(1, 1, "zew", 1)]
+    assert sorted(map(tuple, plans.q5(games, reviews, by=("client_id",), position="pos").collect())) == [(1, 1, "zew", 1), (1, 2, "b", 1)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 20])
@@ -213,8 +215,19 @@ def test_the_later_of_two_games_counts(spark):
     reviews = spark.createDataFrame([(1, a, "-1") for a in "1233"] + [(1, a, "1") for a in "113"], "client_id int, app_id string, review_score string")
     assert {(r["app_id"], r["name"]) for r in plans.q3(games, reviews, position="pos").collect()} == {(1, "abc"), (3, "c")}
     assert {(r["app_id"], r["name"]) for r in plans.action_negatives(games, reviews, "pos").collect()} == {(1, "abc"), (3, "c")}
-    in_order = games.coalesce(1)  # without a position the order of reading counts
-    assert {(r["app_id"], r["name"]) for r in plans.action_negatives(in_order, reviews).collect()} == {(1, "abc"), (3, "c")}
+    with pytest.raises(ValueError, match="position"):
+        plans.action_negatives(games, reviews)
+
+
+def test_the_later_file_counts_whatever_its_size_and_name(spark, tmp_path):
+    reviews = spark.createDataFrame([(1, "1", "-1")], "client_id int, app_id string, review_score string")
+    for when, name, rows in ((1000, "z", [game("1", "old")]), (2000, "a", [game("1", "new")] + [game(str(i), "x" * 50) for i in range(2, 2000)]), (3000, "m", [game("5000", "other")])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, GAME).coalesce(1).write.parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            os.utime(f, (when, when))
+    games = spark.read.parquet(*[str(tmp_path / x) for x in "amz"]).withColumn("genres", F.lit("action"))
+    assert [r["name"] for r in plans.action_negatives(games, reviews).collect()] == ["new"]
 
 
 def test_bad_lines_of_the_raw_export_are_kept_apart(spark, tmp_path):
