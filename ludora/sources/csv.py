@@ -14,6 +14,7 @@ def _reader(spark: SparkSession, schema: StructType, mode: str):
     if mode == "PERMISSIVE":
         schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", False).option("mode", mode)
+    reader = reader.option("nullValue", "\x00").option("emptyValue", "")  # a field of nothing is null, one of two quotes an empty text
     # with fewer columns parsed, a line that doesn't fit would pass for one that does
     return reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False) if mode == "PERMISSIVE" else reader
 
@@ -51,4 +52,6 @@ def bad_raw_games(spark: SparkSession, path: str) -> DataFrame:
 def write_clean(rows: DataFrame, path: str, kind: str = "csv", by: tuple[str, ...] = ()) -> None:
     """``by``: columns that are folders, not part of the lines."""
     writer = rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")
-    writer.option("header", True).option("quote", '"').option("escape", '"').csv(path) if kind == "csv" else writer.format(kind).save(path)
+    if kind == "csv":  # texts as they are: spaces at their ends stay, an empty one is two quotes, a null one nothing
+        writer = writer.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.format(kind).save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 def work_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"  # shared by a cluster's executors
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"
+        local = base.startswith("file:") or "://" not in base
+        if local and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ludora-{name}-{uuid.uuid4().hex}"
 

@@ -32,7 +32,7 @@ class Origin:
 def read_csv_files(spark: SparkSession, origin: Origin, files_a_batch: int = 1000) -> DataFrame:
     """A stream of an origin's lines; one that doesn't fit the schema has itself in ``corrupt_line``."""
     schema = StructType([*origin.schema.fields, StructField(CORRUPT, StringType())])
-    options = {"header": True, "enforceSchema": True, "quote": '"', "escape": '"', "multiLine": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False}
+    options = {"header": True, "enforceSchema": True, "quote": '"', "escape": '"', "multiLine": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False, "nullValue": "\x00", "emptyValue": ""}
     return spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", files_a_batch).csv(origin.path)
 
 

@@ -241,6 +241,12 @@ def test_bad_lines_of_the_raw_export_are_kept_apart(spark, tmp_path):
     assert sorted(r["corrupt_line"] for r in csv.bad_raw_games(spark, str(path)).collect()) == sorted([line(2, 12), line(4, 41)])
 
 
+def test_texts_go_through_csv_as_they_are(spark, tmp_path):
+    rows = [("1", "", "1"), ("2", None, "1"), ("3", " a ", "-1"), ("4", 'q"x,', "0"), ("5", '""', "0"), ("6", "\\", "1"), ("7", " ", "1")]
+    csv.write_clean(spark.createDataFrame(rows, "app_id string, review_text string, review_score string"), str(tmp_path / "x"))
+    assert sorted(map(tuple, csv.read_reviews(spark, str(tmp_path / "x")).collect())) == rows
+
+
 def test_rows_are_numbered_in_file_order(spark, tmp_path):
     for name, lines in (("b.txt", ["b0", "b1", "b0"]), ("a.txt", [f"a{i}" for i in range(2000)]), ("c.txt", []), ("d.txt", ["d0"])):
         (tmp_path / name).write_text("".join(x + "\n" for x in lines))
