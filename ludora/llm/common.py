@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, one in the warehouse, which a cluster's executors share as well."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one in the warehouse, if executors share that as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ludora-work"
+        local = base.startswith("file:") or "://" not in base
+        if local and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -58,9 +62,22 @@ def row_key() -> list[Column]:
     return [F.xxhash64(F.lit(k), F.col("doc_id"), text_or_empty()).alias(f"key{k}") for k in range(2)]
 
 
+#: Share of all rows from which a key is hot: there are 1 / HOT_SHARE of them at most.
+HOT_SHARE = 0.01
+
+
 def these_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with these keys, all their columns; of rows of one doc_id and text, one. ``keys`` are distinct."""
+    """Rows of ``docs`` with these keys, all their columns; of rows of one doc_id and text, one. ``keys`` are distinct.
+
+    Rows that repeat so often that their key is hot are made one in each task before they are shuffled.
+    """
     whole = docs.select(F.struct("*").alias("row"), *row_key())  # the only columns here, whatever theirs are called
+    counts = docs.select(*row_key()).groupBy("key0", "key1").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = written(counts.join(F.broadcast(total), F.col("n") >= HOT_SHARE * F.col("total")).where("n > 1").select("key0", "key1"), "hot-rows")  # one row, then 1 / HOT_SHARE
+    if not hot.isEmpty():
+        often = whole.join(F.broadcast(hot), ["key0", "key1"], "left_semi").groupBy("key0", "key1").agg(F.first("row").alias("row"))
+        whole = whole.join(F.broadcast(hot), ["key0", "key1"], "left_anti").unionByName(often)
     # joined by a sort at every size, so that the duplicates are already side by side
     kept = whole.join(keys.select("key0", "key1").hint("merge"), ["key0", "key1"], "left_semi")
     return kept.dropDuplicates(["key0", "key1"]).select("row.*")

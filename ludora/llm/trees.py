@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 
 #: (feature, operator, threshold)
 Test = tuple[int, str, float]
+HEAD = re.compile(r"^\w*DecisionTree\w*Model\b")
 LINE = re.compile(r"^( *)(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.Ee]+)\)|Predict: ([-\d.Ee]+))$")
 
 
@@ -18,6 +19,8 @@ def paths(debug: str) -> Iterator[tuple[list[Test], float | None]]:
     trail: list[tuple[int, Test]] = []
     for line in debug.splitlines():
         if not (m := LINE.match(line)):
+            if line.strip() and not HEAD.match(line):
+                raise ValueError(f"a line of a tree that can't be read: {line!r}")
             continue
         depth = len(m[1])
         if m[6] is not None:

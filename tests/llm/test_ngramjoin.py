@@ -87,6 +87,14 @@ def test_words_are_parted_by_ascii_white_space_only():
     assert counts.tolist() == [0, 0, 1, 3, 2, 1, 0, 1] and words[0] == words[-1] and len(set(words.tolist())) == 7
 
 
+def test_words_of_blocks_are_those_of_whole_texts(monkeypatch):
+    texts = pa.array([t for _, t in family(9, 12)] + ["y" * 3000 + " z"])
+    whole = ngramjoin.word_hashes(texts)
+    monkeypatch.setattr(ngramjoin, "BLOCK_BYTES", 64)
+    parts = ngramjoin.word_hashes(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_linked_sets_share_a_key():
     """At the threshold itself, for many sizes: what is apart is dealt over as many fragments as it can."""
     r = np.random.default_rng(3)
