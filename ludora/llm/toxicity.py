@@ -9,7 +9,7 @@ how far the factors, its prior, hold. The model makes a probability of them.
 
 The insult lexicon is learnt from labelled rows that are not held out (about ``MAX_LABELLED`` at most,
 drawn by a hash of doc_id): words, and stems of words, whose share among toxic texts departs from chance
-by far. A word has the weight of itself, else of its longest known stem. Lexicon and logistic model are
+by far; ``LEXICON`` entries at most, those that tell most by G squared, a bound on the model like that on its rows. A word has the weight of itself, else of its longest known stem. Lexicon and logistic model are
 fitted on different halves of the rows, so that chance words don't count as evidence.
 
 Texts are read whole. Null or empty texts: no clause matches; the score is that of such texts. Labels of
@@ -82,9 +82,16 @@ def compose(*machines: Machine) -> Machine:
     return Machine(moves, factors, acting, frozenset().union(*[m.gives for m in machines]))
 
 
+def settling(machine: Machine) -> int:
+    """Words of no class after which a machine stays where it is, whatever state it was in: more of them change nothing."""
+    at, steps = set(range(len(machine.factors))), 0
+    while any(machine.moves[s][OTHER] != s for s in at) and steps < len(machine.factors):
+        at, steps = {machine.moves[s][OTHER] for s in at}, steps + 1
+    return steps
+
+
 #: What scales a word's weight, and the words it reaches.
 INFLUENCES = (after(TARGET, 4, 1.5), after(NEGATION, 3, 0.3), after(REPORT, 12, 0.5))
-LONGEST = 12
 GRAMMAR = compose(giving(INSULT), giving(THREAT), *INFLUENCES)
 FEATURES = 11
 
@@ -128,13 +135,14 @@ class Clause(NamedTuple):
     reported: float
 
 
-def clauses(classes: np.ndarray, weights: np.ndarray, ends: np.ndarray, grammar: Machine = GRAMMAR) -> list[Clause]:
-    """The clauses of one text that give out anything."""
+def clauses(classes: np.ndarray, weights: np.ndarray, ends: np.ndarray, grammar: Machine = GRAMMAR, settled: int | None = None) -> list[Clause]:
+    """The clauses of one text that give out anything. ``settled``: ``settling`` of the grammar, where it is known."""
+    settled = settling(grammar) if settled is None else settled
     out, got, state, last = [], [0.0] * 5, 0, -1
     moves, factors, acting, gives = grammar
     places = np.flatnonzero((classes != OTHER) | ends)
     for i, c, w, end in zip(places.tolist(), classes[places].tolist(), weights[places].tolist(), ends[places].tolist(), strict=True):
-        for _ in range(min(i - last - 1, LONGEST)):  # other words in between
+        for _ in range(min(i - last - 1, settled)):  # other words in between
             state = moves[state][OTHER]
         if c in gives:
             got[0 if c == INSULT else 1] += w * factors[state]
@@ -158,7 +166,7 @@ def features(texts: pa.Array, lexicons: list[Lexicon], grammar: Machine = GRAMMA
     ends = pc.match_substring_regex(written, r"[.!?;:]$|\n").to_numpy(zero_copy_only=False)[at]
     distinct = normal.dictionary_encode()
     to_normal = distinct.indices.to_numpy()
-    words, starts, out = common.values(distinct.dictionary), np.cumsum(counts) - counts, []
+    words, starts, out, settled = common.values(distinct.dictionary), np.cumsum(counts) - counts, [], settling(grammar)
     for lexicon in lexicons:
         read = [lexicon.read(w) for w in words]
         kind = np.array([c for c, _ in read], np.int8)[to_normal][at]
@@ -168,7 +176,7 @@ def features(texts: pa.Array, lexicons: list[Lexicon], grammar: Machine = GRAMMA
         found = np.zeros((len(texts), FEATURES))
         for i in np.flatnonzero(hits):
             a, b = starts[i], starts[i] + counts[i]
-            got = clauses(kind[a:b], weight[a:b], ends[a:b], grammar)
+            got = clauses(kind[a:b], weight[a:b], ends[a:b], grammar, settled)
             own = sorted((c.insult + c.threat for c in got), reverse=True)
             thousands = 1 + counts[i] / 1000
             met = np.unique(to_normal[at[a:b]][kind[a:b] == INSULT])

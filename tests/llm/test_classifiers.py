@@ -264,6 +264,17 @@ def test_entropy_and_native_plan(spark):
     assert np.isfinite(got[0]["e"])
 
 
+def test_an_influence_reaches_as_far_as_its_grammar_says():
+    """Of a machine with a longer reach than the built-in ones nothing is cut."""
+    assert toxicity.settling(toxicity.GRAMMAR) == 12 and toxicity.settling(toxicity.giving(toxicity.INSULT)) == 0
+    for reach in (3, 12, 40):
+        grammar = toxicity.compose(toxicity.giving(toxicity.INSULT), toxicity.after(toxicity.NEGATION, reach, 0.5))
+        for gap in (reach - 1, reach):
+            kinds = np.array([toxicity.NEGATION, *[toxicity.OTHER] * gap, toxicity.INSULT])
+            (clause,) = toxicity.clauses(kinds, np.ones(len(kinds)), np.zeros(len(kinds), bool), grammar)
+            assert clause.insult == (0.5 if gap < reach else 1.0)
+
+
 def test_a_tree_that_cannot_be_read_raises():
     text = "DecisionTreeRegressionModel: uid=x, depth=1\n  If (feature 0 <= 1.5)\n   Predict: 0.5\n  Else (feature 0 > 1.5)\n   Predict: -0.5\n"
     assert len(list(trees.paths(text))) == 4
