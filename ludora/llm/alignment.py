@@ -30,12 +30,12 @@ from . import common, tokens
 #: Id pairs in the table that every worker gets: 13 bytes each.
 FREQUENT = 1_000_000
 #: Distinct parts in each of a worker's two caches.
-CACHED_PARTS = 250_000
+CACHED_PARTS = 150_000
 #: Pairs that a task counts before it hands them on.
 COUNTED = 2_000_000
 #: Counts of pairs are told apart by so many steps for each doubling when the first tier is chosen.
 STEPS = 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def byte_level() -> dict[str, int]:
