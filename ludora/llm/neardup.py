@@ -279,11 +279,11 @@ def can_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], least:
 def meetings(stars: DataFrame, work: common.Scratch, least: float, own: DataFrame | None = None) -> DataFrame:
     """(bucket, uid, linked, upto, MEASURES) of the texts of a pivot that can still have links between them. Texts of one ``bucket`` meet.
 
-    ``own``: (pivot, uid, mer), what a text has and its pivot lacks, where ``stars`` has no such column.
+    ``own``: (pivot, uid, mer), what a text has and its pivot lacks, where ``stars`` has no such column; of ``stars``' open pivots only.
     """
     open_ = stars.where("not linked").select("a").distinct()
     placed = stars.join(open_, "a", "left_semi").withColumnRenamed("a", "pivot").withColumnRenamed("b", "uid")
-    mers = placed.select("pivot", "uid", F.explode("own").alias("mer")) if own is None else own.join(open_.withColumnRenamed("a", "pivot"), "pivot", "left_semi")
+    mers = placed.select("pivot", "uid", F.explode("own").alias("mer")) if own is None else own
     often = work.written(mers.groupBy("pivot", "mer").agg(F.count("*").alias("n")).where("n > 1"), "often")
     shared = mers.join(often, ["pivot", "mer"]).groupBy("pivot", "uid").agg(F.array_sort(F.collect_list(F.struct("n", "mer"))).alias("shared"))  # of one text's k-mers
     known = placed.drop("own").join(shared, ["pivot", "uid"], "left").withColumn("shared_n", F.coalesce(F.size("shared"), F.lit(0)))
