@@ -56,7 +56,7 @@ HOT_REVIEWS = "select case l_linestatus when 'O' then 1 else 2 end as client_id,
 def join_hot_game(spark, sf_dir):
     """Negative reviews with their action games, where one game has most reviews: these are dealt over several tasks."""
     reviews = spark.sql(HOT_REVIEWS.format(text="string", part="{part}", lineitem="{lineitem}"), part=views.table(spark, sf_dir, "part"), lineitem=views.table(spark, sf_dir, "lineitem"))
-    return plans.action_negatives(views.games(spark, sf_dir), reviews, "src_key", ["l_orderkey", "l_linenumber"]).select(*KEYS, "name", "l_orderkey", "l_linenumber", *tie)
+    return plans.action_negatives(views.games(spark, sf_dir), reviews, "src_key", ["l_orderkey", "l_linenumber"]).select(*KEYS, "name", "l_orderkey", "l_linenumber")
 
 
 @query(LINES_BY_CLIENT + "select client_id, query, line, row_number() over (partition by client_id, query order by line) as row_id from (select distinct * from lines)")
