@@ -298,9 +298,9 @@ def meetings(stars: DataFrame, work: common.Scratch, least: float, own: DataFram
     return work.written(by_mer.withColumn("short", F.lit(False)).union(by_length.withColumn("short", F.lit(True))), "meetings")
 
 
-def with_roots(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Meetings with the class of each text, of buckets that hold several classes."""
-    placed = met.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+def with_roots(met: DataFrame, roots: DataFrame, work: common.Scratch) -> DataFrame:
+    """Meetings with the class of each text, of buckets that hold several classes. They are joined once and read twice."""
+    placed = work.written(met.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "placed")
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     return placed.join(several, "bucket", "left_semi")
 
@@ -368,7 +368,7 @@ def classes(rows: DataFrame, distinct: DataFrame, work: common.Scratch, least: f
     roots = components(links, work)
     met = meetings(stars, work, least)
     for ask in (pairs_with_central, pairs_that_meet):
-        more = work.written(verified(ask(with_roots(met, roots), work, least), texts, least), "links")
+        more = work.written(verified(ask(with_roots(met, roots, work), work, least), texts, least), "links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, work)

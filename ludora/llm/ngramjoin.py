@@ -317,7 +317,7 @@ def roots_of(sets: DataFrame, work: common.Scratch, percent: int = PERCENT) -> D
     mers = own.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "fragment", F.explode("own").alias("mer")).withColumn("mer", F.col("mer").cast("long") * FRAGMENTS + F.col("fragment")).drop("fragment")
     met = neardup.meetings(open_, work, least, mers)
     for ask in (neardup.pairs_with_central, neardup.pairs_that_meet):
-        asked = work.written(gathered(ask(neardup.with_roots(met, roots), work, least)), "asked")
+        asked = work.written(gathered(ask(neardup.with_roots(met, roots, work), work, least)), "asked")
         more = work.written(with_links(summed(partial_overlaps(asked, sets)), sets, work, percent).where("linked").select("a", "b"), "links")
         if not more.isEmpty():
             links = links.union(more)
