@@ -69,7 +69,8 @@ def costs(rows: DataFrame, text: str, table: DataFrame, floors: dict[str, int],
     each = grams(rows.select(key, text, F.struct(*keep).alias("kept")), text, ["row_of_text", "kept"])
     met = each.join(F.broadcast(table), "gram", "left")  # at most TOP rows for each language
     sums = [F.sum(F.when(F.col("gram").isNull(), 0).otherwise(F.coalesce(x, F.lit(n)))).alias(f"cost_{x}") for x, n in floors.items()]
-    return met.groupBy("row_of_text").agg(F.first("kept").alias("kept"), F.count("gram").alias("grams"), *sums).select("kept.*", "grams", *[f"cost_{x}" for x in floors])
+    # ``kept`` is a part of the key: the buffers are numbers alone, so each task sums its texts up by a hash, without a sort of their trigrams
+    return met.groupBy("row_of_text", "kept").agg(F.count("gram").alias("grams"), *sums).select("kept.*", "grams", *[f"cost_{x}" for x in floors])
 
 
 def learn(rows: DataFrame, text: str, lang: str, languages: tuple[str, ...], written, top: int = TOP) -> Model:

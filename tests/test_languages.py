@@ -55,6 +55,19 @@ def test_no_python_and_no_text_in_a_shuffle(spark, model, sf, capsys):
     assert len(exchanges) == 1
 
 
+def test_trigrams_are_summed_up_without_a_sort(spark, model, sf, capsys):
+    languages.identify(spark.read.parquet(f"{sf}/documents.parquet"), "text", model, ["doc_id", "lang", "source"]).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "Sort [" not in plan
+
+
+def test_equal_rows_and_odd_names_are_kept_apart(spark, model, docs):
+    text = docs.where("lang = 'en' and length(text) > 500").orderBy("doc_id").first()["text"]
+    rows = spark.createDataFrame([("a", None, text), ("a", None, text), ("a", None, None)], "gram string, en string, t string").repartition(1)
+    got = sorted(tuple(r) for r in languages.identify(rows, "t", model, ["gram", "en"]).collect())
+    assert got == [("a", None, "en"), ("a", None, "en"), ("a", None, "unknown")]
+
+
 def test_no_texts_to_learn_from(spark):
     none = spark.createDataFrame([], "text string, lang string")
     model = languages.learn(none, "text", "lang", ("en", "fr"), written)
