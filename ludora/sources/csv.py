@@ -8,6 +8,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..schemas import GAMES, RAW_GAMES, REVIEWS
 
 CORRUPT = "corrupt_line"
+#: Rows that a task writes to folders, as it sorts them by folder first.
+ROWS_A_TASK = 100_000
 
 
 def _reader(spark: SparkSession, schema: StructType, mode: str):
@@ -49,6 +51,12 @@ def bad_raw_games(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark, RAW_GAMES, "PERMISSIVE").csv(path).where(F.col(CORRUPT).isNotNull()).select("AppID", CORRUPT)
 
 
+def dealt(rows: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """The same rows over as many tasks as they need, by a hash of the whole row: before they are written to folders, where a task sorts its rows."""
+    tasks = -(-rows.count() // rows_a_task)
+    return rows.repartition(tasks, F.xxhash64(*rows.columns)) if tasks > 1 else rows
+
+
 def write_clean(rows: DataFrame, path: str, kind: str = "csv", by: tuple[str, ...] = ()) -> None:
     """``by``: columns that are folders, not part of the lines."""
     writer = rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")

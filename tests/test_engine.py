@@ -298,3 +298,13 @@ def test_registered_streams_take_several_batches(spark, sf):
     path = catalogue.work_path(spark, "checkpoint")
     jobs.run(stream, path, lambda batch, batch_id: seen.append(batch.count()))
     assert len(seen) == 8 and sum(seen) == 2 * views.table(spark, sf, "orders").count()
+
+
+def test_rows_for_folders_are_dealt_over_tasks(spark, tmp_path):
+    rows = spark.range(0, 2500, 1, 1).select((F.col("id") % 2).alias("client_id"), F.col("id").cast("string").alias("app_id"))
+    dealt = csv.dealt(rows, 500)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 700
+    csv.write_clean(dealt, str(tmp_path / "out"), by=("client_id",))
+    assert sorted(int(r["_c0"]) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).toDF("_c0", "client_id").collect()) == list(range(2500))
+    assert csv.dealt(rows.limit(0)).count() == 0 and csv.dealt(rows, 2500).rdd.getNumPartitions() == 1
