@@ -14,7 +14,7 @@ from ..functions import parse
 from ..operators import clean, relational as rel, tenants
 from ..schemas import GAMES, REVIEWS
 from ..sources import views
-from ..sources.work import work_path
+from ..sources.work import work_path, written
 from ..streaming import gates, ingest, jobs, merged
 from . import queries as plans
 from .catalogue import KEYS, LINES_BY_CLIENT, _lines_by_client, query
@@ -146,7 +146,7 @@ def stream_client_registry(spark, sf_dir):
 @query(LINES_BY_CLIENT + "select client_id, query, line from lines")
 def stream_results_once(spark, sf_dir):
     """Results of client 1, then of both clients, with those of client 1 changed, then all again: the first answer of each query counts."""
-    lines = _lines_by_client(spark, sf_dir)
+    lines = written(_lines_by_client(spark, sf_dir), "result-lines")  # made once, sent in three phases
     changed = lines.withColumn("line", F.when(F.col("client_id") == 1, F.concat("line", F.lit(" again"))).otherwise(F.col("line")))
     checkpoint, out = work_path(spark, "checkpoint"), work_path(spark, "results-once")
     run = lambda stream: jobs.run(stream, checkpoint, merged.results_sink(out))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ludora.operators import relational as rel, tenants
 from ludora.schemas import GAMES, REVIEWS
+from ludora.plans import stream_queries
 from ludora.sources.work import written
 from ludora.streaming import gates, ingest, jobs, merged
 
@@ -191,3 +192,13 @@ def test_lines_are_numbered_over_tasks(spark, n):
         own = sorted((r["row_id"], r["line"]) for r in got if r["query"] == q)
         assert [i for i, _ in own] == list(range(1, len(own) + 1)) and [x for _, x in own] == sorted(x for _, x in own)
     assert len(got) == n
+
+
+def test_result_lines_are_made_once_for_all_phases(spark, sf, monkeypatch):
+    """The phases are read from one table: lines that tell when they were made are the same in all of them."""
+    made = []
+    monkeypatch.setattr(stream_queries, "_in_phases", lambda spark, phases, run, name: made.extend(phases))
+    monkeypatch.setattr(stream_queries.merged, "first_results", lambda spark, out: made[1])
+    stream_queries.stream_results_once(spark, sf)
+    assert len(made) == 3 and len({tuple(sorted(p.inputFiles())) for p in made}) == 1
+    assert all("ludora-result-lines" in f for p in made for f in p.inputFiles())
