@@ -68,7 +68,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is its end id alone; a very long one has many pieces; repeated rows are packed each. No documents: no pieces.
     """
     # its workers have served the stages before and are smaller for it
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_parts=300_000).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_parts=300_000, keep_encoder=False).drop("ids")
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality classifier", quality_stage), ("exact dedup", exact_dedup_stage), ("near dedup", near_dedup_stage), ("packing", packing_stage)]

@@ -59,8 +59,11 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = PIECE_TOKENS, cached_parts: int = tokens.CACHED_PARTS) -> DataFrame:
-    """Pieces of at most ``most`` ids (little-endian, of 16 bits each where all of a slice's ids fit, else 32); uid tells them apart."""
+def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = PIECE_TOKENS, cached_parts: int = tokens.CACHED_PARTS, keep_encoder: bool = True) -> DataFrame:
+    """Pieces of at most ``most`` ids (little-endian, of 16 bits each where all of a slice's ids fit, else 32); uid tells them apart.
+
+    Unless ``keep_encoder``, a worker lets its encoder go at the end of a task: about 0.3 s to load it again, but its memory is free for what the worker runs next.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = tokens.encoder(tokenizer, cached_parts), TaskContext.get().partitionId() << 33
@@ -78,14 +81,17 @@ def encode_pieces(docs: DataFrame, tokenizer: str, eos: int = EOS, most: int = P
             ids = [bytes(raw[width * a : width * (a + n)]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
             yield pa.record_batch({"uid": pa.array(uid + np.arange(len(doc)), pa.int64()), "doc_id": common.column(b, "doc_id").take(pa.array(doc)), "start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "doc_tokens": pa.array(counts[doc], pa.int64()), "ids": pa.array(ids, pa.binary())})
             uid += len(doc)
+        if not keep_encoder:
+            del enc
+            tokens.encoder.cache_clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
     return common.map_arrow(rows, cut, "uid long, doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH, group_sequences: int = GROUP_SEQUENCES, cached_parts: int = tokens.CACHED_PARTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, eos: int = EOS, length: int = LENGTH, group_sequences: int = GROUP_SEQUENCES, cached_parts: int = tokens.CACHED_PARTS, keep_encoder: bool = True) -> DataFrame:
     """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place: sequence_id and offset. ``cached_parts``: words that a worker remembers."""
-    pieces = common.written(encode_pieces(docs, tokenizer, eos, length // 2, cached_parts), "pieces")
+    pieces = common.written(encode_pieces(docs, tokenizer, eos, length // 2, cached_parts, keep_encoder), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (length * group_sequences)))
 

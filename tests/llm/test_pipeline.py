@@ -96,3 +96,21 @@ def test_registered_queries_match_the_entry_point():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_packing_lets_its_encoder_go(spark, monkeypatch):
+    """A worker that has packed holds no encoder while it serves other stages."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from ludora.llm import common, packing, tokens
+
+    monkeypatch.setattr(common, "map_arrow", lambda rows, fn, schema: fn)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["some words", ""]})
+    for keep in (True, False):
+        tokens.encoder.cache_clear()
+        cut = packing.encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_encoder=keep)
+        assert sum(b.num_rows for b in cut(iter([batch]))) == 2
+        assert tokens.encoder.cache_info().currsize == keep
