@@ -68,6 +68,16 @@ def test_equal_rows_and_odd_names_are_kept_apart(spark, model, docs):
     assert got == [("a", None, "en"), ("a", None, "en"), ("a", None, "unknown")]
 
 
+def test_common_words_are_summed_up_once_and_change_no_cost(spark, model, docs):
+    assert 300 < model.words.count() <= languages.WORDS
+    odd = spark.createDataFrame([(-1, "the THE the-the zzqzz été 𝒳𝒴 " + "x" * 41), (-2, None), (-3, "...")], "doc_id long, text string")
+    rows = docs.where("doc_id % 5 = 0").select("doc_id", "text").union(odd)
+    of = lambda common: sorted(tuple(r) for r in languages.costs(rows, "text", model.table, common, model.floors, ["doc_id"]).collect())
+    whole = of(model.words)
+    assert whole == of(model.words.limit(0)) == of(model.words.orderBy("word").limit(40)) and len(whole) == rows.count()
+    assert [r[:2] for r in whole[:3]] == [(-3, 0), (-2, 0), (-1, 22)]
+
+
 def test_no_texts_to_learn_from(spark):
     none = spark.createDataFrame([], "text string, lang string")
     model = languages.learn(none, "text", "lang", ("en", "fr"), written)
