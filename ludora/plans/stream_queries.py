@@ -49,7 +49,7 @@ def stream_gated_platform_counts(spark, sf_dir):
     Client 1 is complete after the first phase, client 2 after the third. Client 3 sends what client 1 does but for one message and never
     is; client 4 is deleted before its last message. All messages come again in a last phase.
     """
-    messages, marks = _platform_messages(spark, sf_dir)
+    messages, marks = (written(x, "platform-sums") for x in _platform_messages(spark, sf_dir))  # made once, sent in four phases
     first = F.col("client_id") == 1
     third, third_marks = (x.where(first).withColumn("client_id", F.lit(3)) for x in (messages, marks))
     lost = third.groupBy("sender_id").agg(F.min("message_id").alias("message_id")).where("sender_id = 0")

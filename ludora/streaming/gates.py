@@ -7,11 +7,13 @@ markers came and as many distinct messages as they announce, the sums are emitte
 which later repeats are known. A deleted client emits nothing, and its state goes likewise.
 
 Only messages reach the state, each the partial sums of many rows (A1), not the rows themselves; a client with a third of all
-rows has a third of the messages.
+rows has a third of the messages. Each call to the state goes from Python to the JVM and back, so ids are kept in ``BUCKETS`` lists by their hash, and a batch
+asks for a list once for up to ``HELD`` messages, not once for each message.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Lists of the ids seen, by their hash; a checkpoint holds for one number of them. Messages held before the state is asked.
+BUCKETS = 1024
+HELD = 200_000
 
 
 class GatedSums(StatefulProcessor):
@@ -30,7 +35,7 @@ class GatedSums(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sums = handle.getValueState("sums", ", ".join(f"{c} long" for c in self.columns))
-        self.seen = handle.getMapState("seen", "sender_id string, message_id string", "there boolean")
+        self.seen = handle.getMapState("seen", "bucket int", "ids array<string>")
         self.count = handle.getValueState("count", "n long")
         self.marks = handle.getMapState("marks", "sender_id string", "sent long")
         self.closed = handle.getValueState("closed", "there boolean")
@@ -40,6 +45,22 @@ class GatedSums(StatefulProcessor):
             state.clear()
         self.closed.update((True,))
 
+    def unseen(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """The messages that are new, once each; their ids are kept."""
+        rows = pd.concat(parts, ignore_index=True)
+        senders = rows["sender_id"].map(str)
+        rows["id"] = senders.map(len).map(str) + ":" + senders + rows["message_id"].map(str)
+        rows = rows.drop_duplicates("id")
+        new = []
+        for bucket, ids in rows["id"].groupby(rows["id"].map(lambda x: zlib.crc32(x.encode()) % BUCKETS)):
+            key = (int(bucket),)
+            old = list(self.seen.getValue(key)[0]) if self.seen.containsKey(key) else []
+            fresh = ids[~ids.isin(old)] if old else ids
+            if len(fresh):
+                self.seen.updateValue(key, (old + fresh.tolist(),))
+                new.append(fresh)
+        return rows.loc[pd.concat(new).index] if new else rows.iloc[:0]
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.closed.exists():
             for _ in rows:
@@ -48,18 +69,28 @@ class GatedSums(StatefulProcessor):
         sums = list(self.sums.get()) if self.sums.exists() else [0] * len(self.columns)
         count = self.count.get()[0] if self.count.exists() else 0
         deleted = False
+
+        def add(parts: list[pd.DataFrame]) -> None:
+            nonlocal count, sums
+            fresh = self.unseen(parts)
+            count += len(fresh)
+            sums = [a + int(fresh[c].fillna(0).sum()) for a, c in zip(sums, self.columns, strict=True)]
+
+        held, n = [], 0
         for part in rows:
             deleted |= bool(part["deleted"].fillna(False).astype(bool).any())
             ends = part["messages_sent"].notna()
             for sender, sent in part.loc[ends, ["sender_id", "messages_sent"]].drop_duplicates().itertuples(index=False):
                 self.marks.updateValue((str(sender),), (int(sent),))
-            fresh = part[~ends & part["message_id"].notna()].drop_duplicates(["sender_id", "message_id"])
-            new = [not self.seen.containsKey((str(s), str(m))) for s, m in zip(fresh["sender_id"], fresh["message_id"], strict=True)]
-            fresh = fresh.loc[pd.Series(new, index=fresh.index, dtype=bool)]
-            for s, m in zip(fresh["sender_id"], fresh["message_id"], strict=True):
-                self.seen.updateValue((str(s), str(m)), (True,))
-            count += len(fresh)
-            sums = [a + int(fresh[c].fillna(0).sum()) for a, c in zip(sums, self.columns, strict=True)]
+            own = part.loc[~ends & part["message_id"].notna(), ["sender_id", "message_id", *self.columns]]
+            if len(own):
+                held.append(own)
+                n += len(own)
+            if n >= HELD:
+                add(held)
+                held, n = [], 0
+        if held and not deleted:
+            add(held)
         if deleted:
             self.forget()
             return

@@ -61,6 +61,28 @@ def test_state_of_a_closed_client_goes(spark, tmp_path):
     assert left[0] >= 100 and left[1] <= 6
 
 
+def test_many_messages_are_few_rows_of_state_and_none_counts_twice(spark, tmp_path):
+    path, out, checkpoint, left = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), []
+    ids = [f"{i % 7}:{i}" for i in range(3000)]  # the parts of an id can look like another's
+    phases = [
+        [says(1, s, m, 1, 2) for s in ("x", "x1:") for m in ids[:2000]],
+        [says(1, s, m, 1, 2) for s in ("x", "x1:") for m in ids[1000:]] + [ends(1, "x", 3000)],
+        [says(1, "x", m, 1, 2) for m in ids] + [ends(1, "x1:", 3000)],
+    ]
+    for batch in phases:
+        send(spark, path, batch)
+
+        def run():
+            stream = jobs.read_files(spark, path, spark.read.parquet(path).schema)
+            query = gates.gated(stream, ("a", "b"), markers=2).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(jobs.append_to(out)).start()
+            query.awaitTermination()
+            left.append(sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]))
+
+        gates.keyed_state(spark, run)
+    assert [tuple(r) for r in spark.read.parquet(out).select("client_id", "a", "b", "messages").collect()] == [(1, 6000, 12000, 6000)]
+    assert left[1] <= gates.BUCKETS + 10 and left[2] <= 3
+
+
 def test_csv_stream_is_the_batch_reading_with_bad_lines_apart(spark, tmp_path):
     games, reviews = tmp_path / "games", tmp_path / "reviews"
     games.mkdir(), reviews.mkdir()
