@@ -79,5 +79,22 @@ def top_k_job(stream: DataFrame, checkpoint: str, path: str, k: int, metric: str
 
 
 def join_streams(reviews: DataFrame, games: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join, either side first; both are kept until the stream ends."""
+    """Inner join, either side first; both are kept until the stream ends, row by row. Where only their number is asked for, see ``join_counts``."""
     return reviews.join(games, keys)
+
+
+def join_counts(reviews: DataFrame, games: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and n, how many rows the inner join of two streams has for them so far; run it in update mode.
+
+    Either side may be first. The state holds two numbers for each key, not the rows that wait, and each task adds its rows up before they are shuffled.
+    As in a join, a null key meets nothing. n of a key never falls, so its greatest is the last (``last_counts``).
+    """
+    side = lambda rows, r, g: rows.select(*keys, F.lit(r).alias("reviews"), F.lit(g).alias("games"))
+    both = side(reviews, 1, 0).unionByName(side(games, 0, 1)).dropna(subset=keys)
+    found = both.groupBy(*keys).agg(F.sum("reviews").alias("reviews"), F.sum("games").alias("games"))
+    return found.where("reviews > 0 and games > 0").select(*keys, (F.col("reviews") * F.col("games")).alias("n"))
+
+
+def last_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """``keys`` and n as of the last batch that ``append_to`` wrote of ``join_counts``."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max("n").alias("n"))

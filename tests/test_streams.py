@@ -83,6 +83,26 @@ def test_many_messages_are_few_rows_of_state_and_none_counts_twice(spark, tmp_pa
     assert left[1] <= gates.BUCKETS + 10 and left[2] <= 3
 
 
+def test_counts_of_a_stream_join_are_those_of_the_join_and_no_row_waits(spark, tmp_path):
+    """Keys: 1 review first, 2 game first, 3 no game, 4 no review, 5 a game given twice, null meets nothing; both forms of the join."""
+    reviews = [[(1, 1)] * 300 + [(3, 3)] * 300 + [(5, 5)], [(2, 2)] * 2 + [(None, 7)] * 5 + [(1, 1)], [(1, 1), (5, 5), (2, 3)]]
+    games = [[(2, 2), (4, 4)], [(1, 1), (None, 7)], [(5, 5), (5, 5)]]
+    paths = {x: str(tmp_path / x) for x in ("reviews", "games")}
+    left, found = [], []
+    for batch in zip(reviews, games, strict=True):
+        for (name, path), rows in zip(paths.items(), batch, strict=True):
+            spark.createDataFrame(rows, "client_id int, app_id long").coalesce(1).write.mode("append").parquet(path)
+        r, g = (jobs.read_files(spark, x, spark.read.parquet(x).schema) for x in paths.values())
+        query = jobs.join_counts(r, g, ["client_id", "app_id"]).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(jobs.append_to(str(tmp_path / "out"))).start()
+        query.awaitTermination()
+        left.append(sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]))
+        jobs.run(jobs.join_streams(r, g, ["client_id", "app_id"]), str(tmp_path / "c2"), jobs.append_to(str(tmp_path / "rows")))
+        found.append(sorted(tuple(x) for x in jobs.last_counts(spark, str(tmp_path / "out"), ["client_id", "app_id"]).collect()))
+    assert found == [[], [(1, 1, 301), (2, 2, 2)], [(1, 1, 302), (2, 2, 2), (5, 5, 4)]]
+    assert found[-1] == sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "rows")).groupBy("client_id", "app_id").count().collect())
+    assert left[-1] <= 6
+
+
 def test_csv_stream_is_the_batch_reading_with_bad_lines_apart(spark, tmp_path):
     games, reviews = tmp_path / "games", tmp_path / "reviews"
     games.mkdir(), reviews.mkdir()
