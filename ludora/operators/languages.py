@@ -92,14 +92,20 @@ def costs(rows: DataFrame, text: str, table: DataFrame, common: DataFrame, floor
     return met.groupBy("row_of_text", "kept").agg(F.sum(F.coalesce("word_grams", one.otherwise(1))).alias("grams"), *sums).select("kept.*", "grams", *[f"cost_{x}" for x in floors])
 
 
-def learn(rows: DataFrame, text: str, lang: str, languages: tuple[str, ...], written, top: int = TOP, most: int = WORDS) -> Model:
-    """A model of ``languages`` from texts labelled by ``lang``. ``written`` keeps a table (of counts, of the model), as a function of it and a name."""
+def learn_costs(rows: DataFrame, text: str, lang: str, languages: tuple[str, ...], written, top: int = TOP) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Counts of words (lang, word, n), the table and the floors of a model. Texts are read once; what each of them costs, the limits need and this doesn't."""
     known = rows.where(F.col(lang).isin(*languages)).select(F.col(lang).alias("lang"), text)
     said = written(words(known, text, ["lang"]).where("word is not null").groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     counted = written(said.select("lang", "n", F.explode(grams("word")).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     table, floors = gram_table(counted, languages, top)
-    table = written(table, "gram-costs")
+    return said, written(table, "gram-costs"), floors
+
+
+def learn(rows: DataFrame, text: str, lang: str, languages: tuple[str, ...], written, top: int = TOP, most: int = WORDS) -> Model:
+    """A model of ``languages`` from texts labelled by ``lang``. ``written`` keeps a table (of counts, of the model), as a function of it and a name."""
+    said, table, floors = learn_costs(rows, text, lang, languages, written, top)
     common = written(word_costs(said, table, floors, most), "word-costs")
+    known = rows.where(F.col(lang).isin(*languages)).select(F.col(lang).alias("lang"), text)
     own = F.coalesce(*[F.when(F.col("lang") == x, F.expr(f"cost_{x} div grams")) for x in languages])
     seen = costs(known, text, table, common, floors, ["lang"]).where(F.col("grams") >= LEAST_GRAMS).withColumn("own", own)
     limits = seen.groupBy("lang").agg(F.expr(f"cast(percentile_disc({WITHIN}) within group (order by own) as bigint)").alias("limit")).collect()

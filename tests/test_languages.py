@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ludora.operators import languages
+from ludora.plans import language_queries
 from ludora.sources.work import written
 
 
@@ -78,6 +79,15 @@ def test_common_words_are_summed_up_once_and_change_no_cost(spark, model, docs):
     assert [r[:2] for r in whole[:3]] == [(-3, 0), (-2, 0), (-1, 22)]
 
 
+def test_the_table_is_learnt_without_weighing_texts(spark, sf, monkeypatch):
+    names = []
+    monkeypatch.setattr(language_queries, "written", lambda rows, name: names.append(name) or written(rows, name))
+    table = language_queries.language_model(spark, sf)
+    assert names == ["word-counts", "gram-counts", "gram-costs"]  # no costs of words, which only texts need
+    whole = language_queries._model(spark, sf).table
+    assert table.columns == whole.columns and sorted(map(tuple, table.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_no_texts_to_learn_from(spark):
     none = spark.createDataFrame([], "text string, lang string")
     model = languages.learn(none, "text", "lang", ("en", "fr"), written)
